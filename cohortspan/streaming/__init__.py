@@ -1,0 +1 @@
+"""Empty on purpose: nothing in the inventory reads a stream."""
