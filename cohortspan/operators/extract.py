@@ -83,9 +83,7 @@ def dedup_cohort(rows: DataFrame) -> DataFrame:
     travel.
     """
     others = sorted(c for c in rows.columns if c not in (*GRAIN, *PERSON))
-    window = Window.partitionBy(*GRAIN).orderBy(
-        *[F.col(c).asc_nulls_first() for c in (*PERSON, *others)]
-    )
+    window = Window.partitionBy(*GRAIN).orderBy(*PERSON, *others)  # missing values first
     return (
         rows.withColumn("__rn", F.row_number().over(window)).filter(F.col("__rn") == 1).drop("__rn")
     )

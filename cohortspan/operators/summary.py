@@ -92,48 +92,49 @@ def denominators(prepared: DataFrame, level: str, cfg: CohortConfig) -> DataFram
     return students.groupBy(*family_keys(level, cfg)).agg(F.count(F.lit(1)).alias("seniors"))
 
 
-def _cell_counts(students: DataFrame, level: str, cfg: CohortConfig) -> DataFrame:
+def _labelled(students: DataFrame, level: str, cfg: CohortConfig) -> DataFrame:
+    """Student rows of one level under the summary table's scope columns."""
+    scope = [
+        (F.col(name) if name in SCOPE[level] else F.lit(SENTINELS[name])).alias(name)
+        for name in ALL_SCOPE_COLUMNS
+    ]
+    return students.select(
+        F.lit(level).alias("level"), "SchoolYear", *scope, "Grade", *cfg.subgroups, "cells"
+    )
+
+
+def _count_cells(students: DataFrame, cfg: CohortConfig) -> DataFrame:
     """``n`` per cell and ``seniors`` per family from one count per combination of cells."""
-    family = family_keys(level, cfg)
+    family = ["level", "SchoolYear", *ALL_SCOPE_COLUMNS, "Grade", *cfg.subgroups]
     tally = students.groupBy(*family, "cells").agg(F.count(F.lit(1)).alias("students"))
-    numbers = F.sequence(F.lit(0), F.lit(MONTH_SLOTS * _status_slots(cfg) - 1))
-    present = F.filter(numbers, lambda i: F.getbit(F.col("cells"), i) == 1)
-    return (
+    last = MONTH_SLOTS * _status_slots(cfg) - 1
+    counts = (
         tally.withColumn("seniors", F.sum("students").over(Window.partitionBy(*family)))
-        .withColumn("cell", F.explode(present))
+        .withColumn("cell", F.expr(f"explode(filter(sequence(0, {last}), i -> getbit(cells, i) = 1))"))
         .groupBy(*family, "seniors", "cell")
         .agg(F.sum("students").alias("n"))
     )
-
-
-def _finish(counts: DataFrame, level: str, cfg: CohortConfig) -> DataFrame:
-    """Level, sentinel labels and cell columns, in the summary table's order."""
-    position = c.LEVELS.index(level) + 1
-    scope = [
-        (F.col(name) if name in SCOPE[level] else F.lit(SENTINELS[name])).alias(name)
-        for name in ALL_SCOPE_COLUMNS
-    ]
     cell = cell_columns(F.col("cell"), cfg)
     return counts.select(
-        F.lit(level).alias("level"), "SchoolYear", *scope, "Grade", *cfg.subgroups,
+        *family,
         cell["ApplicationReceiptMonth"].alias("ApplicationReceiptMonth"),
         cell["completedFAFSA"].alias("completedFAFSA"),
         "n", "seniors",
-        cell["month_idx"].alias("month_idx"), F.lit(position).alias("level_idx"),
+        cell["month_idx"].alias("month_idx"),
+        col.level_index(F.col("level")).alias("level_idx"),
     )
 
 
 def summarise(prepared: DataFrame, level: str, cfg: CohortConfig) -> DataFrame:
     """The summary of one level."""
-    students = student_families(prepared, cfg)[level]
-    return _finish(_cell_counts(students, level, cfg), level, cfg)
+    return _count_cells(_labelled(student_families(prepared, cfg)[level], level, cfg), cfg)
 
 
 def summarise_levels(prepared: DataFrame, cfg: CohortConfig) -> DataFrame:
     """The summary table: schools, districts and state in one job."""
     students = student_families(prepared, cfg)
-    parts = [_finish(_cell_counts(students[level], level, cfg), level, cfg) for level in c.LEVELS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    school, lea, state = (_labelled(students[level], level, cfg) for level in c.LEVELS)
+    return _count_cells(school.unionByName(lea).unionByName(state), cfg)
 
 
 def sort_app_data(

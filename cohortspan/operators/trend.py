@@ -42,29 +42,23 @@ def _with_label(df: DataFrame) -> DataFrame:
     ).withColumn("group_idx", col.level_index(F.col("level")))
 
 
-def _month_totals(cfg: CohortConfig, condition: Column | None = None) -> list[Column]:
+def _month_totals(cfg: CohortConfig) -> list[Column]:
     """One sum of ``n`` per trend month."""
-    totals = []
-    for month in range(1, cfg.trend_months + 1):
-        wanted = F.col("month_idx") == month
-        wanted = wanted if condition is None else wanted & condition
-        total = F.coalesce(F.sum(F.when(wanted, F.col("n"))), F.lit(0))
-        totals.append(total.alias(f"m{month}"))
-    return totals
+    return [
+        F.expr(f"coalesce(sum(n) FILTER (WHERE month_idx = {month}), 0) AS m{month}")
+        for month in range(1, cfg.trend_months + 1)
+    ]
 
 
 def _unfold(wide: DataFrame, keys: Sequence[str], cfg: CohortConfig, cumulative: bool) -> DataFrame:
     """One row per month from the wide rows."""
-    months, running = [], F.lit(0).cast("bigint")
+    months = []
     for month in range(1, cfg.trend_months + 1):
-        running = running + F.col(f"m{month}")
-        fields = [
-            F.lit(month).alias("month_idx"),
-            F.lit(c.MONTHS[month - 1]).alias("ApplicationReceiptMonth"),
-            F.col(f"m{month}").alias("completed"),
-        ]
-        months.append(F.struct(*fields, *([running.alias("cum_completed")] if cumulative else [])))
-    long = wide.select(*keys, "seniors", F.inline(F.array(*months)))
+        fields = f"{month} AS month_idx, '{c.MONTHS[month - 1]}' AS ApplicationReceiptMonth, m{month} AS completed"
+        if cumulative:
+            fields += ", " + " + ".join(f"m{m}" for m in range(1, month + 1)) + " AS cum_completed"
+        months.append(f"struct({fields})")
+    long = wide.select(*keys, "seniors", F.expr(f"inline(array({', '.join(months)}))"))
     part = F.col("cum_completed" if cumulative else "completed")
     return long.withColumn("completion_rate", col.rate(part, F.col("seniors")))
 
@@ -153,9 +147,8 @@ def monthly_trend(app: DataFrame, cfg: CohortConfig) -> DataFrame:
     """
     keys = ["level", "SchoolYear", "DistrictCode", "DistrictName", "SchoolCode", "SchoolName",
             "Grade", *cfg.subgroups]
-    wide = app.groupBy(*keys, "seniors").agg(
-        *_month_totals(cfg, F.col("completedFAFSA") == cfg.complete)
-    )
+    done = F.when(F.col("completedFAFSA") == cfg.complete, F.col("n")).alias("n")
+    wide = app.select(*keys, "seniors", "month_idx", done).groupBy(*keys, "seniors").agg(*_month_totals(cfg))
     return _unfold(_with_label(wide), ["group", "group_idx", *keys], cfg, cumulative=False)
 
 

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # call-site capture for error messages multiplies the cost of building a plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -23,6 +25,7 @@ def local_session(cores: int | str = "*", app_name: str = "cohortspan", **extra:
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     } | extra
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortspan.sources.schemas import SOURCE_SCHEMAS
 
@@ -15,7 +14,7 @@ def conform(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
     missing = [name for name in schema if name.lower() not in {c.lower() for c in df.columns}]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in schema.items()])
+    return df.selectExpr(*[f"CAST(`{name}` AS {kind}) AS `{name}`" for name, kind in schema.items()])
 
 
 def read_source(spark: SparkSession, spec: Mapping[str, object]) -> DataFrame:

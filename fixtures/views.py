@@ -1,9 +1,10 @@
 """The driver's tables seen as the pipeline's source tables.
 
-Each view exists twice, as a DataFrame and as DuckDB SQL, from one description:
-orders stand for enrolment snapshots, line items for applications, nations for
-districts. All rows of the tables take part. Code tables come from the nation
-table, or are short fixed lists as in any warehouse.
+Orders stand for enrolment snapshots, line items for applications, nations for
+districts. All rows of the tables take part. One SQL text describes a view for
+both engines; ``{asof}`` is a column name that DuckDB wants quoted. The school
+and district code tables are unfolded from the nation table, the two short code
+lists are fixed, as in any warehouse.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortspan.config import CohortConfig
 from cohortspan.sources import load_sources
@@ -21,104 +21,98 @@ CODE_YEARS = (1990, 2030)
 EXCLUDED = ("16", "30", "50", "145")
 CONFIG = CohortConfig(excluded_schools=EXCLUDED, min_year=1996)
 
-RACE_CODES = {
-    "AUTOMOBILE": "1", "BUILDING": "2", "FURNITURE": "3", "HOUSEHOLD": "4", "MACHINERY": "5",
-}
 # Code 5 and the SpEd codes 4 and 5 have no entry, so lookups also miss.
 RACE_TITLES = {
     "1": "African American", "2": "American Indian", "3": "Hispanic/Latino", "4": "Hawaiian",
 }
 SPED_DEFINITIONS = {"1": "Speech", "2": "Learning", "3": "Hearing"}
 
+# A person's names and birth date follow from the customer key alone.
+_PERSON = """
+    'Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') AS {last},
+    'F' || CAST(o_custkey % 101 AS STRING) AS {first},
+    CAST(DATE '1980-01-01' + CAST(o_custkey % 5000 AS INTEGER) AS DATE) AS {born}"""
+
+ENROLLMENT_SQL = """
+    SELECT CAST(year(o_orderdate) AS INTEGER) AS SchoolYear,
+        CAST(date_trunc('quarter', o_orderdate) AS DATE) AS {asof},
+        o_custkey AS StudentID,""" + _PERSON.format(
+    last="LastName", first="FirstName", born="BirthDate") + """,
+        CAST(c_nationkey * 10 + o_orderkey % 10 AS STRING) AS SchoolCode,
+        CAST(c_nationkey AS STRING) AS DistrictCode,
+        'Statewide' AS Geography, 'Z' || CAST(c_nationkey AS STRING) AS ZipCode,
+        CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'M' END AS Gender,
+        CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '1' WHEN 'BUILDING' THEN '2'
+            WHEN 'FURNITURE' THEN '3' WHEN 'HOUSEHOLD' THEN '4' WHEN 'MACHINERY' THEN '5' END AS RaceEDEN,
+        CASE WHEN o_totalprice < 100000 THEN 'Y' ELSE 'N' END AS LowIncome,
+        CASE WHEN c_acctbal < 0 THEN 'Y' ELSE 'N' END AS Medicaid,
+        substr(o_orderpriority, 1, 1) AS SPEDCode,
+        CAST(NULL AS STRING) AS CD504, CAST(NULL AS STRING) AS ELL, CAST(NULL AS STRING) AS Migrant,
+        CAST(NULL AS STRING) AS Homeless, CAST(NULL AS STRING) AS FosterCare,
+        CAST(NULL AS STRING) AS MilitaryDep, CAST(NULL AS STRING) AS Immersion,
+        CASE WHEN o_orderpriority = '5-LOW' THEN '11' ELSE '12' END AS Grade,
+        '4' AS YearInHS, CAST(NULL AS STRING) AS GradeRepeater, CAST(NULL AS STRING) AS GradeSkipper
+    FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
+
+ISIR_SQL = """
+    SELECT ISIRYear, l_orderkey * 10 + l_linenumber AS ISIRID,
+        StudentFirstName, StudentLastName, StudentDateOfBirth,
+        CASE WHEN l_returnflag = 'R' THEN CAST(l_shipdate AS DATE) END AS ApplicationReceiptDate,
+        CAST(l_shipdate AS DATE) AS TransactionReceiptDate
+    FROM {lineitem} JOIN (
+        SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS ISIRYear,""" + _PERSON.format(
+    last="StudentLastName", first="StudentFirstName", born="StudentDateOfBirth") + """
+        FROM {orders}) applicant ON l_orderkey = o_orderkey"""
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def _values(entries: dict[str, str], code: str, text: str) -> str:
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in entries.items())
+    return f"SELECT * FROM (VALUES {rows}) AS t({code}, {text})"
 
-def _birth_date(key):
-    return F.date_add(F.lit(dt.date(1980, 1, 1)), F.pmod(key, F.lit(5000)).cast("int"))
+
+RACE_CODE_SQL = _values(RACE_TITLES, "RaceReportCode", "RaceReportTitle")
+SPED_CODE_SQL = _values(SPED_DEFINITIONS, "SpEd", "SpEdDefinition")
+
+_tables: dict[tuple[str, str], DataFrame] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table; its footer is read for the schema once per application."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _tables:
+        _tables[key] = spark.read.parquet(path)
+    return _tables[key]
 
 
 def enrollment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders")
-    customer = _table(spark, sf_dir, "customer")
-    race = F.lit(None).cast("string")
-    for segment, code in RACE_CODES.items():
-        race = F.when(F.col("c_mktsegment") == segment, code).otherwise(race)
-    flag = lambda condition: F.when(condition, "Y").otherwise("N")
-    none = F.lit(None).cast("string")
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.year("o_orderdate").alias("SchoolYear"),
-        F.trunc(F.col("o_orderdate").cast("date"), "quarter").alias("AsOf"),
-        F.col("o_custkey").alias("StudentID"),
-        F.col("c_name").alias("LastName"),
-        F.col("c_mktsegment").alias("FirstName"),
-        _birth_date(F.col("o_custkey")).alias("BirthDate"),
-        (F.col("c_nationkey") * 10 + F.pmod("o_orderkey", F.lit(10))).cast("string").alias("SchoolCode"),
-        F.col("c_nationkey").cast("string").alias("DistrictCode"),
-        F.lit("Statewide").alias("Geography"),
-        F.concat(F.lit("Z"), F.col("c_nationkey").cast("string")).alias("ZipCode"),
-        F.when(F.col("o_orderstatus") == "F", "F").when(F.col("o_orderstatus") == "O", "M").alias("Gender"),
-        race.alias("RaceEDEN"),
-        flag(F.col("o_totalprice") < 100000).alias("LowIncome"),
-        flag(F.col("c_acctbal") < 0).alias("Medicaid"),
-        F.substring("o_orderpriority", 1, 1).alias("SPEDCode"),
-        none.alias("CD504"), none.alias("ELL"), none.alias("Migrant"), none.alias("Homeless"),
-        none.alias("FosterCare"), none.alias("MilitaryDep"), none.alias("Immersion"),
-        F.when(F.col("o_orderpriority") == "5-LOW", "11").otherwise("12").alias("Grade"),
-        F.lit("4").alias("YearInHS"), none.alias("GradeRepeater"), none.alias("GradeSkipper"),
-    )
+    orders, customer = (_table(spark, sf_dir, name) for name in ("orders", "customer"))
+    return spark.sql(ENROLLMENT_SQL.replace("{asof}", "AsOf"), orders=orders, customer=customer)
 
 
 def isir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = _table(spark, sf_dir, "lineitem")
-    orders = _table(spark, sf_dir, "orders")
-    customer = _table(spark, sf_dir, "customer")
-    ship_date = F.col("l_shipdate").cast("date")
-    people = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    return lineitem.join(people, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.year("o_orderdate").alias("ISIRYear"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ISIRID"),
-        F.col("c_mktsegment").alias("StudentFirstName"),
-        F.col("c_name").alias("StudentLastName"),
-        _birth_date(F.col("o_custkey")).alias("StudentDateOfBirth"),
-        F.when(F.col("l_returnflag") == "R", ship_date).alias("ApplicationReceiptDate"),
-        ship_date.alias("TransactionReceiptDate"),
-    )
+    lineitem, orders = (_table(spark, sf_dir, name) for name in ("lineitem", "orders"))
+    return spark.sql(ISIR_SQL, lineitem=lineitem, orders=orders)
 
 
-def _years():
-    return F.explode(F.sequence(F.lit(CODE_YEARS[0]), F.lit(CODE_YEARS[1])))
+_YEARS = f"explode(sequence({CODE_YEARS[0]}, {CODE_YEARS[1]})) AS SchoolYear"
 
 
 def school(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = _table(spark, sf_dir, "nation").select(
-        "n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("digit")
-    )
-    code = (F.col("n_nationkey") * 10 + F.col("digit")).cast("string")
-    return codes.select(code.alias("SchoolCode"), _years().alias("SchoolYear")).withColumn(
-        "SchoolName",
-        F.concat(F.lit("School "), "SchoolCode", F.lit(" ("), F.col("SchoolYear").cast("string"), F.lit(")")),
+    return (
+        _table(spark, sf_dir, "nation")
+        .selectExpr("n_nationkey", "explode(sequence(0, 9)) AS digit")
+        .selectExpr("CAST(n_nationkey * 10 + digit AS STRING) AS SchoolCode", _YEARS)
+        .selectExpr("*", "'School ' || SchoolCode || ' (' || SchoolYear || ')' AS SchoolName")
     )
 
 
 def district(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("string").alias("DistrictCode"),
-        F.col("n_name").alias("DistrictName"),
-        _years().alias("SchoolYear"),
+    return _table(spark, sf_dir, "nation").selectExpr(
+        "CAST(n_nationkey AS STRING) AS DistrictCode", "n_name AS DistrictName", _YEARS
     )
 
 
-def _values(entries: dict[str, str], code: str, text: str) -> str:
-    rows = ", ".join(f"('{k}', '{v}')" for k, v in entries.items())
-    return f"SELECT * FROM (VALUES {rows}) AS t({code}, {text})"
-
-
-RACE_CODE_SQL = _values(RACE_TITLES, "RaceReportCode", "RaceReportTitle")
-SPED_CODE_SQL = _values(SPED_DEFINITIONS, "SpEd", "SpEdDefinition")
-
-
 def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All six source tables."""
     return load_sources(
@@ -134,36 +128,9 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
 
 
-_RACE_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RACE_CODES.items())
-_NULL_TEXT = lambda *names: ", ".join(f"CAST(NULL AS VARCHAR) AS {n}" for n in names)
-
-# "AsOf" is quoted: the word is reserved in DuckDB.
 VIEWS_SQL = {
-    "fx_enrollment": f"""
-        SELECT CAST(year(o_orderdate) AS INTEGER) AS SchoolYear,
-            CAST(date_trunc('quarter', o_orderdate) AS DATE) AS "AsOf",
-            o_custkey AS StudentID, c_name AS LastName, c_mktsegment AS FirstName,
-            CAST(DATE '1980-01-01' + CAST(o_custkey % 5000 AS INTEGER) AS DATE) AS BirthDate,
-            CAST(c_nationkey * 10 + o_orderkey % 10 AS VARCHAR) AS SchoolCode,
-            CAST(c_nationkey AS VARCHAR) AS DistrictCode,
-            'Statewide' AS Geography, 'Z' || CAST(c_nationkey AS VARCHAR) AS ZipCode,
-            CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'M' END AS Gender,
-            CASE c_mktsegment {_RACE_CASE} END AS RaceEDEN,
-            CASE WHEN o_totalprice < 100000 THEN 'Y' ELSE 'N' END AS LowIncome,
-            CASE WHEN c_acctbal < 0 THEN 'Y' ELSE 'N' END AS Medicaid,
-            substr(o_orderpriority, 1, 1) AS SPEDCode,
-            {_NULL_TEXT("CD504", "ELL", "Migrant", "Homeless", "FosterCare", "MilitaryDep", "Immersion")},
-            CASE WHEN o_orderpriority = '5-LOW' THEN '11' ELSE '12' END AS Grade,
-            '4' AS YearInHS, {_NULL_TEXT("GradeRepeater", "GradeSkipper")}
-        FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "fx_isir": """
-        SELECT CAST(year(o_orderdate) AS INTEGER) AS ISIRYear,
-            l_orderkey * 10 + l_linenumber AS ISIRID,
-            c_mktsegment AS StudentFirstName, c_name AS StudentLastName,
-            CAST(DATE '1980-01-01' + CAST(o_custkey % 5000 AS INTEGER) AS DATE) AS StudentDateOfBirth,
-            CASE WHEN l_returnflag = 'R' THEN CAST(l_shipdate AS DATE) END AS ApplicationReceiptDate,
-            CAST(l_shipdate AS DATE) AS TransactionReceiptDate
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
+    "fx_enrollment": ENROLLMENT_SQL.format(asof='"AsOf"', orders="orders", customer="customer"),
+    "fx_isir": ISIR_SQL.format(lineitem="lineitem", orders="orders"),
     "fx_school": f"""
         SELECT SchoolYear, SchoolCode, 'School ' || SchoolCode || ' (' || SchoolYear || ')' AS SchoolName
         FROM (
