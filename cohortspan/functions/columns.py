@@ -69,5 +69,6 @@ def rate(part: Column, whole: Column) -> Column:
 
 
 def percent_text(share: Column, decimals: int = 0) -> Column:
-    """A share as text, e.g. ``47%``; ties go to the even digit."""
-    return F.format_string(f"%.{decimals}f%%", F.bround(share * 100, decimals))
+    """A share as text, e.g. ``47%``; ties go to the even digit, NULL stays NULL."""
+    text = F.format_string(f"%.{decimals}f%%", F.bround(share * 100, decimals))
+    return F.when(share.isNotNull(), text)

@@ -132,7 +132,9 @@ def match_applications(students: DataFrame, isir: DataFrame, cfg: CohortConfig)
     spread = F.pmod(F.xxhash64("StudentID", "SchoolCode"), F.lit(UNMATCHABLE_SLOTS)).cast("int") + 1
     left = left.withColumn("__slot", F.when(incomplete, spread).otherwise(F.lit(0)))
 
-    right = latest_application(_collate(isir, APPLICANT[:2], cfg)).select(
+    # Without a receipt date an application changes nothing, matched or not.
+    received = isir.filter(F.col("ApplicationReceiptDate").isNotNull())
+    right = latest_application(_collate(received, APPLICANT[:2], cfg)).select(
         F.col("ISIRYear"),
         *APPLICANT,
         "ApplicationReceiptDate",

@@ -110,7 +110,8 @@ def _count_cells(students: DataFrame, cfg: CohortConfig) -> DataFrame:
     last = MONTH_SLOTS * _status_slots(cfg) - 1
     counts = (
         tally.withColumn("seniors", F.sum("students").over(Window.partitionBy(*family)))
-        .withColumn("cell", F.expr(f"explode(filter(sequence(0, {last}), i -> getbit(cells, i) = 1))"))
+        .withColumn("cell", F.expr(f"explode(sequence(0, {last}))"))
+        .filter("getbit(cells, cell) = 1")
         .groupBy(*family, "seniors", "cell")
         .agg(F.sum("students").alias("n"))
     )
