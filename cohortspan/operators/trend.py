@@ -18,6 +18,7 @@ from cohortspan import config as c
 from cohortspan.config import CohortConfig
 from cohortspan.functions import columns as col
 from cohortspan.functions.relational import complete_grid, fill_downup, null_safe_join
+from cohortspan.staging import stage
 
 # With the subgroups these identify a line. Districts and the state carry their
 # sentinel labels, so equal school and district names stay apart.
@@ -138,49 +139,52 @@ def trend_labels(trend: DataFrame, decimals: int = 0) -> DataFrame:
     )
 
 
-def monthly_trend(app: DataFrame, cfg: CohortConfig) -> DataFrame:
-    """Share of the cohort that completed within each month, per school year.
+def _monthly_lines(app: DataFrame, cfg: CohortConfig) -> tuple[DataFrame, list[str]]:
+    """Wide monthly lines and their keys.
 
-    Every scope of the data appears with all trend months, including scopes
-    without any completion. Counts are taken as they are: a line is one scope by
-    code, so no two rows are ever added up.
+    Every scope of the data is a line, with or without completions. A line is
+    one scope by code, so no two counts are ever added up.
     """
     keys = ["level", "SchoolYear", "DistrictCode", "DistrictName", "SchoolCode", "SchoolName",
             "Grade", *cfg.subgroups]
     done = F.when(F.col("completedFAFSA") == cfg.complete, F.col("n")).alias("n")
-    wide = app.select(*keys, "seniors", "month_idx", done).groupBy(*keys, "seniors").agg(*_month_totals(cfg))
-    return _unfold(_with_label(wide), ["group", "group_idx", *keys], cfg, cumulative=False)
+    rows = app.select(*keys, "seniors", "month_idx", done)
+    wide = rows.groupBy(*keys, "seniors").agg(*_month_totals(cfg))
+    return _with_label(wide), ["group", "group_idx", *keys]
 
 
-def zero_lines(trend: DataFrame, cfg: CohortConfig) -> DataFrame:
-    """Monthly lines that have no completion in any trend month."""
-    keys = ["level", "SchoolYear", "DistrictCode", "DistrictName", "SchoolCode", "SchoolName",
-            "Grade", *cfg.subgroups]
-    empty = trend.groupBy(*keys).agg(F.sum("completed").alias("__all")).filter(F.col("__all") == 0)
-    return null_safe_join(trend, empty.drop("__all"), keys)
+def monthly_trend(app: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """Share of the cohort that completed within each month, per school year."""
+    wide, keys = _monthly_lines(app, cfg)
+    return _unfold(wide, keys, cfg, cumulative=False)
 
 
-def trend_all_scopes(app: DataFrame, cfg: CohortConfig) -> DataFrame:
-    """The cumulative trend of every school beside its district and the state.
+def monthly_trend_empty(app: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """The monthly lines that have no completion in any trend month."""
+    wide, keys = _monthly_lines(app, cfg)
+    empty = " AND ".join(f"m{month} = 0" for month in range(1, cfg.trend_months + 1))
+    return _unfold(wide.filter(empty), keys, cfg, cumulative=False)
 
-    What a reader would see after picking each school in turn with all its
-    genders and races. Lines are computed once; each school then asks for its
-    own, its district's and the state's by equi-join, on wide rows, and the
-    months are unfolded last.
+
+def _with_requests(app: DataFrame, lines: DataFrame, cfg: CohortConfig, *per: str) -> DataFrame:
+    """Every school's own line, its district's and the state's, by equi-join.
+
+    Lines of a school are asked for within the school's own categories, and
+    separately for each value of the ``per`` columns.
+
+    A third of the requests are for the state. While the lines are few they are
+    broadcast, and no request moves; otherwise both sides of the join are bare
+    shuffles, which adaptive execution splits where one line is in demand.
     """
     subgroups = list(cfg.subgroups)
     at_school = app.filter(
         (F.col("level") == "school") & F.col("DistrictName").isNotNull() & F.col("SchoolName").isNotNull()
-    )
-    at_school = at_school.withColumnsRenamed(
-        {"DistrictName": "scope_district", "SchoolName": "scope_school"}
-    )
-    scopes = at_school.select("scope_district", "scope_school").distinct()
+    ).withColumnsRenamed({"DistrictName": "scope_district", "SchoolName": "scope_school"})
+    scope = [*per, "scope_district", "scope_school"]
+    scopes = at_school.select(*scope).distinct()
     if subgroups:
         # A school's own categories: short sets of labels, unfolded into its facets.
-        scopes = at_school.groupBy("scope_district", "scope_school").agg(
-            *[F.collect_set(name).alias(name) for name in subgroups]
-        )
+        scopes = at_school.groupBy(*scope).agg(*[F.collect_set(name).alias(name) for name in subgroups])
         for name in subgroups:
             scopes = scopes.withColumn(name, F.explode(name))
 
@@ -191,7 +195,7 @@ def trend_all_scopes(app: DataFrame, cfg: CohortConfig) -> DataFrame:
 
     district, school = F.col("scope_district"), F.col("scope_school")
     requests = scopes.select(
-        "scope_district", "scope_school", *subgroups,
+        *scope, *subgroups,
         F.inline(
             F.array(
                 wanted("school", district, school),
@@ -200,6 +204,24 @@ def trend_all_scopes(app: DataFrame, cfg: CohortConfig) -> DataFrame:
             )
         ),
     )
-    lines = _with_label(requests.join(_pooled_lines(app, cfg), [*LINE, *subgroups]))
-    keys = ["scope_district", "scope_school", "group", "group_idx", "level", *subgroups]
+    return requests.join(lines, [*LINE, *per, *subgroups])
+
+
+def trend_all_scopes(app: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """The cumulative trend of every school beside its district and the state.
+
+    What a reader would see after picking each school in turn with all its
+    genders and races. Lines are computed once and staged, joined as wide rows,
+    and the months are unfolded last. ``app`` is read twice.
+    """
+    pooled = stage(_pooled_lines(app, cfg), "trend_lines")
+    lines = _with_label(_with_requests(app, pooled, cfg))
+    keys = ["scope_district", "scope_school", "group", "group_idx", "level", *cfg.subgroups]
     return _unfold(lines, keys, cfg, cumulative=True)
+
+
+def monthly_trend_all_scopes(app: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """The monthly trend of every school, year by year, beside its district and the state."""
+    wide, keys = _monthly_lines(app, cfg)
+    lines = _with_requests(app, stage(wide, "trend_lines"), cfg, "SchoolYear")
+    return _unfold(lines, ["scope_district", "scope_school", *keys], cfg, cumulative=False)

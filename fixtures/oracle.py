@@ -426,6 +426,14 @@ _BODIES = {
             (l.level = 'school' AND l.DistrictName = f.scope_district AND l.SchoolName = f.scope_school)
             OR (l.level = 'lea' AND l.DistrictName = f.scope_district)
             OR l.level = 'state')""",
+    "monthly_trend_all_scopes": """
+        SELECT s.scope_district, s.scope_school, l.* FROM (
+            SELECT DISTINCT SchoolYear, DistrictName AS scope_district, SchoolName AS scope_school
+            FROM app_nosub WHERE level = 'school' AND DistrictName IS NOT NULL AND SchoolName IS NOT NULL) s
+        JOIN monthly_all l ON l.SchoolYear = s.SchoolYear AND (
+            (l.level = 'school' AND l.DistrictName = s.scope_district AND l.SchoolName = s.scope_school)
+            OR (l.level = 'lea' AND l.DistrictName = s.scope_district)
+            OR l.level = 'state')""",
 }
 
 ORACLES = {name: _sql(body) for name, body in _BODIES.items()}

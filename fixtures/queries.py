@@ -508,10 +508,14 @@ def monthly_trend_lines(spark, sf_dir):
 @query
 def trend_zero_scope(spark, sf_dir):
     """Lines without any completion in the trend months, of all scopes and years."""
-    lines = stage(trend.monthly_trend(_app(spark, sf_dir, NOSUB), NOSUB), "monthly_trend")
-    return trend.zero_lines(lines, NOSUB)
+    return trend.monthly_trend_empty(_app(spark, sf_dir, NOSUB), NOSUB)
 
 
 @query
 def trend_all_scopes(spark, sf_dir):
     return trend.trend_all_scopes(stage(_app(spark, sf_dir), "app_data"), CONFIG)
+
+
+@query
+def monthly_trend_all_scopes(spark, sf_dir):
+    return trend.monthly_trend_all_scopes(stage(_app(spark, sf_dir, NOSUB), "app_data"), NOSUB)

@@ -1,12 +1,13 @@
-import pytest
 from dataclasses import replace
 
+import pytest
+from pyspark.sql import functions as F
+
 from cohortspan.config import CohortConfig, Selection
 from cohortspan.functions import columns as col
 from cohortspan.operators import detail, trend
 from cohortspan.plans import selection_outputs
-from tests.conftest import records
-from pyspark.sql import functions as F
+from tests.conftest import final_plan, records
 
 CFG = CohortConfig()
 NOSUB = replace(CFG, subgroups=())
@@ -90,7 +91,7 @@ def test_monthly_trend_keeps_scopes_without_completions(spark, app):
     assert [r["completed"] for r in by_level["school"]] == [0, 3, 0, 2, 0, 0, 0, 0, 0]
     assert by_level["school"][1]["completion_rate"] == 0.3
     assert {r["completed"] for r in by_level["state"]} == {0} and by_level["state"][0]["seniors"] == 7
-    empty = records(trend.zero_lines(trend.monthly_trend(app.filter("SchoolYear = 2020 AND race = 'White'"), NOSUB), NOSUB))
+    empty = records(trend.monthly_trend_empty(app.filter("SchoolYear = 2020 AND race = 'White'"), NOSUB))
     assert len(empty) == 9 and {r["group"] for r in empty} == {"State"}
 
 
@@ -119,6 +120,27 @@ def test_all_scopes_equal_one_selection_at_a_time(spark):
         assert sorted(map(str, mine.select(shared).collect())) == sorted(map(str, alone.select(shared).collect()))
 
 
+def test_the_state_line_in_demand_is_split(spark, settings):
+    """Without broadcasting, the requests for one state line are spread."""
+    settings(**{
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    })
+    count = 20000
+    schools = app_rows(spark, cell("school", 1, 1, 5)).drop("SchoolCode", "SchoolName").crossJoin(
+        spark.range(count).selectExpr("concat('S', id) AS SchoolCode", "concat('School ', id) AS SchoolName")
+    )
+    rest = app_rows(spark, cell("lea", 1, 3, 11), cell("state", 1, 3, 30))
+    every = trend.trend_all_scopes(schools.unionByName(rest), NOSUB)
+    assert "skew=true" in final_plan(every)
+    counts = {r["level"]: r["count"] for r in every.groupBy("level").count().collect()}
+    assert counts == {level: count * 9 for level in SCOPES}
+
+
 def test_labels(spark):
     frame = spark.createDataFrame([(0.125,), (0.0635,), (1.0,), (None,)], "r double")
     texts = frame.select(col.percent_text(F.col("r"), 0), col.percent_text(F.col("r"), 1)).collect()
