@@ -13,6 +13,14 @@ from cohortspan.staging import stage
 
 ROSTER = ("DistrictCode", "DistrictName", "SchoolCode", "SchoolName")
 PREP_COLUMNS = tuple(c for c in EXTRACT_SCHEMA if c not in ("asOf", "BirthDate", "SPEDCode"))
+SUBGROUP_SOURCES = {"gender": "Gender", "race": "RaceReportTitle"}
+
+
+def summary_columns(cfg: CohortConfig) -> list[str]:
+    """The extract's columns that the summary table depends on."""
+    subgroups = [SUBGROUP_SOURCES[name] for name in cfg.subgroups]
+    return ["SchoolYear", "StudentID", *ROSTER, "Grade", *subgroups,
+            "ApplicationReceiptDate", "CompletedFAFSA"]
 
 
 def latest_year(extract: DataFrame) -> DataFrame:
@@ -27,9 +35,14 @@ def school_roster(extract: DataFrame) -> DataFrame:
 
 
 def restrict_relabel(extract: DataFrame, roster: DataFrame) -> DataFrame:
-    """Keep schools on the roster and show every year under today's names."""
+    """Keep schools on the roster and show every year under today's names.
+
+    The extract may come with fewer columns than usual; those present are kept.
+    """
     bare = extract.drop("DistrictName", "SchoolName")
-    return null_safe_join(bare, roster, ["DistrictCode", "SchoolCode"]).select(*PREP_COLUMNS)
+    return null_safe_join(bare, roster, ["DistrictCode", "SchoolCode"]).select(
+        *[c for c in PREP_COLUMNS if c in extract.columns]
+    )
 
 
 def year_floor(rows: DataFrame, cfg: CohortConfig) -> DataFrame:
@@ -45,9 +58,9 @@ def recode_rows(rows: DataFrame, cfg: CohortConfig) -> DataFrame:
         "month_idx": col.month_index(F.col("ApplicationReceiptDate")),
     }
     if "gender" in cfg.subgroups:
-        labels["gender"] = col.gender_label(F.col("Gender"), cfg)
+        labels["gender"] = col.gender_label(F.col(SUBGROUP_SOURCES["gender"]), cfg)
     if "race" in cfg.subgroups:
-        labels["race"] = col.race_label(F.col("RaceReportTitle"), cfg)
+        labels["race"] = col.race_label(F.col(SUBGROUP_SOURCES["race"]), cfg)
     replaced = {name.lower() for name in labels}
     kept = [F.col(c) for c in rows.columns if c.lower() not in replaced]
     return rows.select(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from cohortspan.config import CohortConfig, Selection
 from cohortspan.operators import detail, trend
 from cohortspan.operators.extract import build_extract
-from cohortspan.operators.prep import prepare
+from cohortspan.operators.prep import prepare, summary_columns
 from cohortspan.operators.summary import summarise_levels
 from cohortspan.staging import stage
 
@@ -19,9 +19,13 @@ from cohortspan.staging import stage
 def build_app_data(
     sources: Mapping[str, DataFrame], cfg: CohortConfig, as_of: dt.date | None = None
 ) -> DataFrame:
-    """Extract, preparation and summary. The extract is staged: three jobs read it."""
-    extract = stage(build_extract(sources, cfg, as_of=as_of), "extract")
-    return summarise_levels(prepare(extract, cfg), cfg)
+    """Extract, preparation and summary.
+
+    The extract is staged, as it is read three times, and without the columns
+    the summary does not need: they then drop out of its last shuffles too.
+    """
+    extract = build_extract(sources, cfg, as_of=as_of).select(*summary_columns(cfg))
+    return summarise_levels(prepare(stage(extract, "extract"), cfg), cfg)
 
 
 def selection_outputs(app: DataFrame, selection: Selection, cfg: CohortConfig) -> dict[str, DataFrame]:

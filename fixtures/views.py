@@ -35,7 +35,7 @@ _PERSON = """
 
 ENROLLMENT_SQL = """
     SELECT CAST(year(o_orderdate) AS INTEGER) AS SchoolYear,
-        CAST(date_trunc('quarter', o_orderdate) AS DATE) AS {asof},
+        make_date(year(o_orderdate), quarter(o_orderdate) * 3 - 2, 1) AS {asof},
         o_custkey AS StudentID,""" + _PERSON.format(
     last="LastName", first="FirstName", born="BirthDate") + """,
         CAST(c_nationkey * 10 + o_orderkey % 10 AS STRING) AS SchoolCode,
