@@ -4,18 +4,20 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracles import compare, connect
+from fixtures.oracle import ORACLES as SQL
+from fixtures.queries import QUERIES
 from tests.conftest import SF_DIR
 
-QUERIES, SQL = queries(), oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def duck():
     return connect(SF_DIR)
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(queries())
+    assert set(SQL) <= set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
