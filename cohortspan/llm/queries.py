@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortspan.llm import simhash, tokenfiles
+from cohortspan.llm import chat, mixing, simhash, tokenfiles
 from cohortspan.llm.texts import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +20,57 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+@query
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "\\### Assistant: </turn> ok"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"),
+    )
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    done = chat.format_chats(rows.unionByName(own))
+    turns, loss = chat.read_turns(F.col("formatted")), chat.learned_text(F.col("segments"))
+    lines = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return done.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op6_chat"] = """
+WITH own AS (
+    SELECT -7::BIGINT AS conv_id, t AS turn, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END AS role,
+           '\\### Assistant: </turn> ok' AS text
+    FROM (VALUES (0), (1)) v(t)
+), turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM own)
+), written AS (
+    SELECT *, replace(replace(replace(text, '\\', '\\b'), '</turn>', '\\t'), '###', '\\h') AS safe,
+           replace(replace(replace(replace(role, '\\', '\\b'), '</turn>', '\\t'), '###', '\\h'), ': ', '\\c') AS safe_role
+    FROM turns
+), joined AS (
+    SELECT conv_id, count(*) AS n_turns,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS all_turns,
+           coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+           sum(length('### ' || safe_role || ': ' || safe || ' </turn>' || chr(10)))::BIGINT AS formatted_chars
+    FROM written GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(all_turns) AS turns_sha256, length(loss) AS loss_chars,
+       sha256(loss) AS loss_sha256, formatted_chars
+FROM joined
+"""
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
