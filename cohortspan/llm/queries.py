@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import chat, mixing, simhash, tokenfiles
+from cohortspan.llm import chat, forced_bpe, langid, ledger, mixing, simhash, tokenfiles
 from cohortspan.llm.texts import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,27 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@query
+def op3_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    done = forced_bpe.encode(documents(spark, sf_dir), path, decoded=True)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn(
+        "held_out", langid.fold(F.col("doc_id"), 4) == 2
+    )
+    scorer = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs, scorer, carry=("doc_id", "held_out"))
+
+
 @query
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "\\### Assistant: </turn> ok"
@@ -71,6 +92,48 @@ FROM joined
 """
 
 
+@query
+def op8_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger.ledger(documents(spark, sf_dir))
+    failed = ledger.fails(ledger.BASE)
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"),
+        (~failed & ~ledger.fails(ledger.POLICIES[ledger.CURRENT])).alias("kept"),
+    )
+
+
+ORACLES["op8_ledger"] = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), starts AS (
+    SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win
+    FROM texts, generate_series(1, len(words) - 7) g(i)
+), again AS (
+    SELECT doc_id, i FROM starts QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
+), covered AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n FROM again, generate_series(0, 7) s(k) GROUP BY doc_id
+), lined AS (
+    SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts
+), measured AS (
+    SELECT doc_id, len(words)::BIGINT AS n_words,
+           length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+           length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+           len(lines)::BIGINT AS n_lines,
+           (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+           coalesce(n, 0)::BIGINT AS n_repeat_words,
+           len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words
+    FROM lined LEFT JOIN covered USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_symbols > n_words OR word_chars < 2 * n_words
+            OR word_chars > 20 * n_words OR 2 * n_dup_lines > n_lines OR 2 * n_letter_words < n_words) AS kept
+FROM measured
+"""
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
