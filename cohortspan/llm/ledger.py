@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.llm.texts import slices
+from cohortspan.llm.texts import slices, split_words
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -78,11 +78,8 @@ def _lines(text: str | None) -> tuple[int, int]:
 
 def _measured(texts: pa.Array) -> list[np.ndarray]:
     texts = pc.fill_null(texts, "")
-    spaced = pc.replace_substring_regex(texts, r"[\x09-\x0D\x20]+", " ")
-    cut = pc.split_pattern(pc.ascii_trim(spaced, " "), " ")
-    words, doc = cut.flatten(), np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
-    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # a text without words splits into one empty string
-    words, doc = words.filter(pa.array(real)), doc[real]
+    words, counts = split_words(texts)
+    doc = np.repeat(np.arange(len(texts)), counts)
     coded = words.dictionary_encode()
     letters = pc.match_substring_regex(coded.dictionary, r"\p{L}").to_numpy(zero_copy_only=False)
     number = coded.indices.to_numpy()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import chat, forced_bpe, langid, ledger, mixing, simhash, tokenfiles
+from cohortspan.llm import chat, forced_bpe, langid, ledger, mixing, simhash, substrings, tokenfiles
 from cohortspan.llm.texts import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,36 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@query
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir))
+
+
+ORACLES["op2_substrings"] = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row_no, doc_id,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), starts AS (
+    SELECT row_no, i, array_to_string(words[i:i + 34], ' ') AS win
+    FROM texts, generate_series(1, len(words) - 34) g(i)
+), again AS (
+    SELECT row_no, i FROM starts WHERE win IN (SELECT win FROM starts GROUP BY win HAVING count(*) > 1)
+), covered AS (
+    SELECT DISTINCT row_no, i + k AS i FROM again, generate_series(0, 34) s(k)
+), gone AS (
+    SELECT row_no, list(i) AS removed FROM covered GROUP BY row_no
+), kept AS (
+    SELECT row_no, doc_id, words, coalesce(len(removed), 0) AS n,
+           list_filter(words, lambda w, i: removed IS NULL OR NOT list_contains(removed, i)) AS rest
+    FROM texts LEFT JOIN gone USING (row_no)
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, n::BIGINT AS n_removed,
+       sha256(array_to_string(rest, ' ')) AS kept_sha256
+FROM kept
+"""
+
+
 @query
 def op3_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")

@@ -94,3 +94,13 @@ class Remembered(dict):
             self.update(first)
         self[key] = value
         return value
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of all texts in one array, and the number of words of each text."""
+    texts = pc.fill_null(texts, "")
+    spaced = pc.ascii_trim(pc.replace_substring_regex(texts, r"[\x09-\x0D\x20]+", " "), " ")
+    cut = pc.split_pattern(spaced, " ")
+    words, text_of = cut.flatten(), np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # no words split into one empty string
+    return words.filter(pa.array(real)), np.bincount(text_of[real], minlength=len(texts))
