@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import chat, forced_bpe, langid, ledger, mixing, simhash, substrings, tokenfiles
+from cohortspan.llm import caps, chat, forced_bpe, langid, ledger, mixing, simhash, substrings, tokenfiles
 from cohortspan.llm.texts import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,32 @@ FROM joined
 """
 
 
+@query
+def op7_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLES["op7_caps"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))
+      AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.95
+), reach AS (
+    SELECT vec_id AS node, vec_id AS seen FROM embeddings
+    UNION
+    SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen
+), least AS (
+    SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, component_id,
+       e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON node = e.vec_id
+"""
+
+
 @query
 def op8_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger.ledger(documents(spark, sf_dir))
