@@ -166,7 +166,7 @@ def predict(docs: DataFrame, scorer: Scorer, carry: tuple[str, ...] = ("doc_id",
         scores = Remembered(scorer.word, WORDS_KEPT)
         langs = np.array([*scorer.langs, UNKNOWN], object)
         for batch in slices(batches):
-            cut = words_of(batch.column(batch.num_columns - 1))
+            cut = words_of(batch.column("text"))
             words = cut.flatten().dictionary_encode()
             distinct = words.dictionary.to_pylist()
             table = np.array([scores[w] for w in distinct]).reshape(len(distinct), len(scorer.langs))
@@ -183,11 +183,13 @@ def predict(docs: DataFrame, scorer: Scorer, carry: tuple[str, ...] = ("doc_id",
             else:
                 best, score = np.zeros(len(known), int), np.zeros(len(known))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(langs[best], pa.string()), pa.array(score)], [*carry, "lang_pred", "score"]
+                [*[batch.column(c) for c in carry], pa.array(langs[best], pa.string()), pa.array(score)],
+                [*carry, "lang_pred", "score"],
             )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*carry, "text").mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    needed = [*carry, *(["text"] if "text" not in carry else [])]
+    return docs.select(*needed).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -197,8 +199,7 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def accepted(docs: DataFrame, scorer: Scorer, least_score: float) -> DataFrame:
     """The documents, all columns as they came, whose language is told with ``least_score`` or more."""
-    names = tuple(c for c in docs.columns if c != "text")
-    carried = docs.select("*", F.col("text").alias("__text"))
-    found = predict(carried, scorer, carry=(*names, "__text"))
+    renamed = docs.toDF(*[c if c == "text" else f"__{c}" for c in docs.columns])
+    found = predict(renamed, scorer, carry=tuple(renamed.columns))
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    return kept.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return kept.select(*renamed.columns).toDF(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import caps, chat, forced_bpe, langid, ledger, mixing, simhash, substrings, tokenfiles
+from cohortspan.llm import caps, chat, forced_bpe, langid, ledger, logbilinear, mixing, simhash, substrings, tokenfiles
 from cohortspan.llm.texts import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,12 @@ def op3_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_logbilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return logbilinear.score(docs.withColumn("held_out", langid.fold(F.col("doc_id"), 7) == 2))
+
+
 @query
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn(

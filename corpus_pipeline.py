@@ -4,24 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortspan.llm import simhash
+from cohortspan.llm import forced_bpe, langid, mixing, simhash, substrings
 from cohortspan.llm.texts import documents
 from cohortspan.staging import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# A text's language has to carry this share of its likelihood; chance among four languages is 0.25.
+LEAST_LANGUAGE_SCORE = 0.4
+TOKENIZER = "word_bpe_49k.json"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; texts without letters or of no clear language go.
+
+    Learns from all documents that state a language.
+    """
+    return langid.accepted(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
     return simhash.keep_one(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that occur more than once."""
+    return _counted(substrings.without_repeats(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: a row for each whole pass over a document and each part of one."""
+    return _counted(mixing.mixed_documents(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, and the text they decode to."""
+    path = public_tokenizers.path(TOKENIZER)
+    done = forced_bpe.encode(docs, path, carry=("doc_id", "lang", "source"), decoded=True)
+    return done.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the texts as they are now."""
+    counts = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return docs.withColumns(counts) if counts else docs
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
     ("simhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mix_sources", mix_sources),
+    ("bpe_encode", encode),
 ]
 
-# The stages score, hash and tokenize in ways SQL has no words for; tests hold them against brute force.
+# The stages learn, hash and tokenize in ways SQL has no words for; tests hold them against brute force.
 ORACLE_SQL = None
 
 
