@@ -19,6 +19,16 @@ def recode(column: Column, labels: Mapping[str, str], default: Column | None = N
     return result
 
 
+def code_text(column: Column) -> Column:
+    """A code as text without trailing blanks, as codes are compared."""
+    return F.rtrim(column.cast("string"))
+
+
+def code_number(column: Column) -> Column:
+    """A code as text, without blanks around it and, where it is a number, without leading zeros."""
+    return F.regexp_replace(F.trim(column.cast("string")), "^0+(?=[0-9]+$)", "")
+
+
 def gender_label(column: Column, cfg: CohortConfig) -> Column:
     return recode(column, cfg.gender_labels)
 

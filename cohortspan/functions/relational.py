@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from cohortspan.staging import stage
 
-CROSSTAB_MAX_LEVELS = 10_000
-
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other; keys appear once.
@@ -29,12 +27,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
-def n_distinct(column: str) -> Column:
-    """Number of distinct values, NULL counting as one value."""
-    value = F.col(column)
-    return F.count_distinct(value) + F.coalesce(F.max(value.isNull().cast("long")), F.lit(0))
-
-
 def complete_grid(
     df: DataFrame, keys: Sequence[str], axis: str, values: Sequence[int], fill: dict[str, object]
 ) -> DataFrame:
@@ -69,21 +61,19 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts for every pair of levels of ``a`` and ``b``, long form.
 
     A NULL level is always present on both sides and empty pairs count 0. All
-    rows are reduced to one count per pair first; the grid is laid out over
-    those counts. Columns with more than ``CROSSTAB_MAX_LEVELS`` levels are not
-    categories: the job then fails instead of dropping levels.
+    rows are reduced to one count per pair first. The levels of ``a``, the short
+    axis such as the school year, are unfolded next to each level of ``b``, which
+    stay spread over the tasks however many there are.
     """
     counts = stage(df.groupBy(a, b).agg(F.count(F.lit(1)).alias("count")), "crosstab")
-    with_null = F.array_append(F.array_sort(F.collect_set(b)), F.lit(None).cast(df.schema[b].dataType))
-    too_many = F.raise_error(F.lit(f"{b} has too many levels for a cross-table"))
-    few_enough = F.size(F.collect_set(b)) <= CROSSTAB_MAX_LEVELS
-    b_levels = counts.agg(F.when(few_enough, with_null).otherwise(too_many).alias("levels"))
-    a_levels = counts.select(a).where(F.col(a).isNotNull()).distinct()
-    a_null = counts.select(F.lit(None).cast(df.schema[a].dataType).alias(a)).limit(1)
+    null = lambda name: F.lit(None).cast(df.schema[name].dataType)
+    axis = counts.select(a).distinct().agg(F.array_append(F.array_sort(F.collect_set(a)), null(a)).alias("levels"))
+    b_levels = counts.select(b).where(F.col(b).isNotNull()).distinct()
+    b_null = counts.select(null(b).alias(b)).limit(1)
     grid = (
-        a_levels.unionByName(a_null)
-        .withColumn("levels", b_levels.scalar())
-        .select(a, F.explode("levels").alias(b))
+        b_levels.unionByName(b_null)
+        .withColumn("levels", axis.scalar())
+        .select(F.explode("levels").alias(a), b)
     )
     return null_safe_join(grid, counts, [a, b], "left").withColumn(
         "count", F.coalesce(F.col("count"), F.lit(0))

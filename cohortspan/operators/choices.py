@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.config import MISSING_RACE
+from cohortspan.config import MISSING_RACE, SUBGROUPS
 
 
 def choices(rows: DataFrame, column: str) -> DataFrame:
@@ -100,13 +100,11 @@ def subgroup_choices(
     district: str,
     school: str | Sequence[str],
     whole_range: bool = False,
+    subgroups: Sequence[str] = SUBGROUPS,
 ) -> DataFrame:
-    """Genders and races present at the chosen school, as (kind, value)."""
+    """Values of the subgroups present at the chosen school, as (kind, value)."""
     rows = _school_rows(app, years, whole_range, DistrictName=district, SchoolName=school)
-    pairs = F.array(
-        F.struct(F.lit("gender").alias("kind"), F.col("gender").alias("value")),
-        F.struct(F.lit("race").alias("kind"), F.col("race").alias("value")),
-    )
+    pairs = F.array(*[F.struct(F.lit(name).alias("kind"), F.col(name).alias("value")) for name in subgroups])
     return (
         rows.select(F.inline(pairs))
         .filter(F.col("value").isNotNull())

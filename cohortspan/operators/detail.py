@@ -21,10 +21,7 @@ def scope_filter(app: DataFrame, selection: Selection) -> DataFrame:
         F.col("DistrictName").isin(selection.district, c.ALL_DISTRICTS),
         F.col("SchoolName").isin(selection.school, c.ALL_SCHOOLS),
     ]
-    if selection.genders is not None:
-        conditions.append(F.col("gender").isin(*selection.genders))
-    if selection.races is not None:
-        conditions.append(F.col("race").isin(*selection.races))
+    conditions += [F.col(name).isin(*values) for name, values in selection.subgroup_values.items()]
     return app.filter(reduce(and_, conditions))
 
 
@@ -42,10 +39,11 @@ def detail_table(rows: DataFrame, subgroups: tuple[str, ...] = c.SUBGROUPS) -> D
         F.col("seniors") > 0, F.bround(F.col("n").cast("double") / F.col("seniors") * 100, 1)
     )
     hidden = [name for name in c.SUBGROUPS if name not in subgroups]
-    return rows.select(
-        *[F.col(k).alias(v) for k, v in c.DETAIL_NAMES.items() if k not in hidden],
-        percent.alias("Percent"),
-    )
+    names = {k: v for k, v in c.DETAIL_NAMES.items() if k not in hidden}
+    others = {name: name.replace("_", " ").title() for name in subgroups if name not in names}
+    place = list(names).index("ApplicationReceiptMonth")
+    ordered = [*list(names.items())[:place], *others.items(), *list(names.items())[place:]]
+    return rows.select(*[F.col(k).alias(v) for k, v in ordered], percent.alias("Percent"))
 
 
 def _note(rows: DataFrame, first_year: Column, last_year: Column, text: list[Column]) -> DataFrame:
@@ -62,11 +60,8 @@ def scope_note(rows: DataFrame) -> DataFrame:
     """Sentence that describes a selection with subgroups, no row if there is no school."""
     year, last = F.col("first_year").cast("string"), F.col("last_year").cast("string")
     years = F.when(year == last, year).otherwise(F.concat(year, F.lit(DASH), last))
-    text = [
-        F.lit("Showing "), F.col("SchoolName"), F.lit(" compared with "), F.col("DistrictName"),
-        F.lit(" and the state for school year "), years,
-        F.lit(". Rates are subgroup-specific within the selected gender and race filters."),
-    ]
+    showing, compared, state, end = map(F.lit, c.NOTE)
+    text = [showing, F.col("SchoolName"), compared, F.col("DistrictName"), state, years, end]
     return _note(rows, F.min("SchoolYear"), F.max("SchoolYear"), text)
 
 
@@ -74,9 +69,6 @@ def scope_note_year(rows: DataFrame) -> DataFrame:
     """Sentence that describes a one-year selection without subgroups."""
     year = F.col("first_year")
     years = F.concat((year - 1).cast("string"), F.lit(DASH), (year - 2000).cast("string"))
-    text = [
-        F.lit("Showing monthly FAFSA completion percentages for "), F.col("SchoolName"),
-        F.lit(", compared with "), F.col("DistrictName"),
-        F.lit(" and the state for school year "), years, F.lit("."),
-    ]
+    showing, compared, state, end = map(F.lit, c.NOTE_YEAR)
+    text = [showing, F.col("SchoolName"), compared, F.col("DistrictName"), state, years, end]
     return _note(rows, F.min("SchoolYear"), F.max("SchoolYear"), text)

@@ -9,8 +9,10 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from cohortspan.config import CohortConfig
+from cohortspan.functions import columns as col
 from cohortspan.sources.schemas import EXTRACT_SCHEMA, SOURCE_SCHEMAS
 from cohortspan.staging import stage
 
@@ -18,7 +20,6 @@ GRAIN = ("SchoolYear", "StudentID", "SchoolCode")
 PERSON = ("LastName", "FirstName", "BirthDate")
 # Application columns that identify the same person, in the order of PERSON.
 APPLICANT = ("StudentLastName", "StudentFirstName", "StudentDateOfBirth")
-CODE_TEXT_LENGTH = 50
 
 # Rows without a full person key match nobody, yet would all hash to one
 # partition of the match; they are spread over this many slots instead.
@@ -51,27 +52,44 @@ def snapshot_rows(enrollment: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def cohort_filter(enrollment: DataFrame, cfg: CohortConfig) -> DataFrame:
-    """The cohort's grade, without the excluded schools."""
-    kept = enrollment.filter(F.col("Grade") == cfg.cohort_grade)
-    if cfg.excluded_schools:
-        kept = kept.filter(~F.col("SchoolCode").isin(*cfg.excluded_schools))
-    return kept
+    """The cohort's grade, without the excluded schools.
+
+    School codes are compared as numbers where they are numbers, so ``0516`` is
+    excluded with ``516``. A numeric column is compared as it is, which lets the
+    source skip rows.
+    """
+    kept = enrollment.filter(F.col("Grade") == F.lit(cfg.cohort_grade))
+    if not cfg.excluded_schools:
+        return kept
+    if isinstance(enrollment.schema["SchoolCode"].dataType, NumericType):
+        numbers = [int(code) for code in cfg.excluded_schools if code.strip().isdigit()]
+        return kept.filter(~F.col("SchoolCode").isin(*numbers)) if numbers else kept
+    excluded = [code.strip().lstrip("0") or "0" if code.strip().isdigit() else code.strip() for code in cfg.excluded_schools]
+    return kept.filter(~col.code_number(F.col("SchoolCode")).isin(*excluded))
 
 
 def add_names(rows: DataFrame, school: DataFrame, district: DataFrame) -> DataFrame:
-    """School and district name of the row's own year; unknown codes drop out."""
-    return rows.join(
-        school.select("SchoolYear", "SchoolCode", "SchoolName"), ["SchoolYear", "SchoolCode"]
-    ).join(
-        district.select("SchoolYear", "DistrictCode", "DistrictName"), ["SchoolYear", "DistrictCode"]
-    )
+    """School and district name of the row's own year; unknown codes drop out.
+
+    Trailing blanks do not tell codes apart.
+    """
+
+    def named(df: DataFrame, names: DataFrame, code: str, name: str) -> DataFrame:
+        theirs = names.select(
+            F.col("SchoolYear").alias("__year"), col.code_text(F.col(code)).alias("__code"), name
+        )
+        same = (df["SchoolYear"] == theirs["__year"]) & (col.code_text(df[code]) == theirs["__code"])
+        return df.join(theirs, same).drop("__year", "__code")
+
+    return named(named(rows, school, "SchoolCode", "SchoolName"), district, "DistrictCode", "DistrictName")
 
 
 def cohort_columns(rows: DataFrame) -> DataFrame:
-    """The columns carried on, with the race column under its real meaning."""
-    names = [c for c in SOURCE_SCHEMAS["enrollment"] if c not in ("AsOf", "RaceEDEN")]
+    """The columns carried on, in their final types, with the race column under its real meaning."""
+    kinds = SOURCE_SCHEMAS["enrollment"]
     return rows.select(
-        *names, "SchoolName", "DistrictName", F.col("RaceEDEN").alias("RaceReportCode")
+        *[F.col(c).cast(kind).alias(c) for c, kind in kinds.items() if c not in ("AsOf", "RaceEDEN")],
+        "SchoolName", "DistrictName", F.col("RaceEDEN").cast(kinds["RaceEDEN"]).alias("RaceReportCode"),
     )
 
 
@@ -133,7 +151,9 @@ def match_applications(students: DataFrame, isir: DataFrame, cfg: CohortConfig)
     left = left.withColumn("__slot", F.when(incomplete, spread).otherwise(F.lit(0)))
 
     # Without a receipt date an application changes nothing, matched or not.
-    received = isir.filter(F.col("ApplicationReceiptDate").isNotNull())
+    received = isir.filter(F.col("ApplicationReceiptDate").isNotNull()).withColumn(
+        "ISIRYear", F.col("ISIRYear").cast("int")
+    )
     right = latest_application(_collate(received, APPLICANT[:2], cfg)).select(
         F.col("ISIRYear"),
         *APPLICANT,
@@ -153,13 +173,12 @@ def match_applications(students: DataFrame, isir: DataFrame, cfg: CohortConfig)
 
 def add_race_title(rows: DataFrame, race_code: DataFrame) -> DataFrame:
     """Race title of the code, or the code itself where it has no title."""
-    as_text = lambda column: F.substring(column.cast("string"), 1, CODE_TEXT_LENGTH)
     titles = race_code.select(
-        as_text(F.col("RaceReportCode")).alias("__code"), F.col("RaceReportTitle").alias("__title")
+        col.code_text(F.col("RaceReportCode")).alias("__code"), F.col("RaceReportTitle").alias("__title")
     )
-    mine = as_text(F.col("RaceReportCode"))
+    mine = F.col("RaceReportCode").cast("string")
     return (
-        rows.join(titles, mine == F.col("__code"), "left")
+        rows.join(titles, col.code_text(mine) == F.col("__code"), "left")
         .withColumn("RaceReportTitle", F.coalesce("__title", mine))
         .drop("__code", "__title")
     )
@@ -167,8 +186,8 @@ def add_race_title(rows: DataFrame, race_code: DataFrame) -> DataFrame:
 
 def add_sped_definition(rows: DataFrame, sped_code: DataFrame) -> DataFrame:
     """Definition of the special-education code, NULL where it has none."""
-    codes = sped_code.select(F.col("SpEd").alias("__sped"), "SpEdDefinition")
-    return rows.join(codes, F.col("SPEDCode") == F.col("__sped"), "left").drop("__sped")
+    codes = sped_code.select(col.code_text(F.col("SpEd")).alias("__sped"), "SpEdDefinition")
+    return rows.join(codes, col.code_text(F.col("SPEDCode")) == F.col("__sped"), "left").drop("__sped")
 
 
 def completion_flag(receipt_date: Column) -> Column:
@@ -185,18 +204,22 @@ def build_extract(
 ) -> DataFrame:
     """The whole extract, one row per school year, student and school.
 
-    The list of latest snapshots is staged first (a pass over two columns), so
-    that Spark knows it is small when it plans the main job.
+    The list of latest snapshots (a pass over two columns) and the four code tables
+    are staged first, so that Spark knows they are small when it plans the main
+    job: of unknown size, each would have all students shuffled on its few codes.
+    Give ``lookup_reports`` a look first if the code tables are not known to be
+    clean, as a repeated code multiplies students.
     """
+    codes = {name: stage(sources[name], name) for name in ("school", "district", "race_code", "sped_code")}
     enrollment = optional_eq(sources["enrollment"], "SchoolYear", school_year)
     isir = optional_eq(sources["isir"], "ISIRYear", school_year)
     latest = stage(latest_snapshot(enrollment), "latest_snapshot")
 
     cohort = snapshot_rows(cohort_filter(enrollment, cfg), latest)
-    named = cohort_columns(add_names(cohort, sources["school"], sources["district"]))
+    named = cohort_columns(add_names(cohort, codes["school"], codes["district"]))
     matched = match_applications(dedup_cohort(named), isir, cfg)
     labelled = add_sped_definition(
-        add_race_title(matched, sources["race_code"]), sources["sped_code"]
+        add_race_title(matched, codes["race_code"]), codes["sped_code"]
     )
     extract = labelled.withColumns(
         {

@@ -13,12 +13,11 @@ from cohortspan.staging import stage
 
 ROSTER = ("DistrictCode", "DistrictName", "SchoolCode", "SchoolName")
 PREP_COLUMNS = tuple(c for c in EXTRACT_SCHEMA if c not in ("asOf", "BirthDate", "SPEDCode"))
-SUBGROUP_SOURCES = {"gender": "Gender", "race": "RaceReportTitle"}
 
 
 def summary_columns(cfg: CohortConfig) -> list[str]:
     """The extract's columns that the summary table depends on."""
-    subgroups = [SUBGROUP_SOURCES[name] for name in cfg.subgroups]
+    subgroups = [cfg.subgroup(name).source for name in cfg.subgroups]
     return ["SchoolYear", "StudentID", *ROSTER, "Grade", *subgroups,
             "ApplicationReceiptDate", "CompletedFAFSA"]
 
@@ -57,10 +56,10 @@ def recode_rows(rows: DataFrame, cfg: CohortConfig) -> DataFrame:
         "completedFAFSA": col.status_label(F.col("CompletedFAFSA"), cfg),
         "month_idx": col.month_index(F.col("ApplicationReceiptDate")),
     }
-    if "gender" in cfg.subgroups:
-        labels["gender"] = col.gender_label(F.col(SUBGROUP_SOURCES["gender"]), cfg)
-    if "race" in cfg.subgroups:
-        labels["race"] = col.race_label(F.col(SUBGROUP_SOURCES["race"]), cfg)
+    for name in cfg.subgroups:
+        subgroup = cfg.subgroup(name)
+        code = F.col(subgroup.source)
+        labels[name] = col.recode(code, subgroup.labels, default=code if subgroup.keeps_others else None)
     replaced = {name.lower() for name in labels}
     kept = [F.col(c) for c in rows.columns if c.lower() not in replaced]
     return rows.select(

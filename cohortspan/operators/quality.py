@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan.config import CohortConfig
+from cohortspan.functions import columns as col
 from cohortspan.functions.relational import crosstab
 
 ENROLMENT_KEY = ("SchoolYear", "DistrictCode", "SchoolCode", "StudentID")
@@ -40,6 +42,27 @@ def coverage(app: DataFrame, cfg: CohortConfig) -> DataFrame:
     ).withColumn("diff", F.col("total_n") - F.col("seniors"))
 
 
+LOOKUP_KEYS = {
+    "school": ("SchoolYear", "SchoolCode"), "district": ("SchoolYear", "DistrictCode"),
+    "race_code": ("RaceReportCode",), "sped_code": ("SpEd",),
+}
+
+
+def lookup_reports(sources: Mapping[str, DataFrame]) -> DataFrame:
+    """Per code table its number of codes, and of codes it repeats, compared as the joins compare them."""
+    reports = []
+    for table, keys in LOOKUP_KEYS.items():
+        codes = sources[table].select(*[
+            F.col(k) if k == "SchoolYear" else col.code_text(F.col(k)).alias(k) for k in keys
+        ])
+        counts = codes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        reports.append(counts.agg(
+            F.lit(table).alias("code_table"), F.count(F.lit(1)).alias("codes"),
+            F.count(F.when(F.col("n") > 1, 1)).alias("repeated"),
+        ))
+    return reduce(DataFrame.unionByName, reports)
+
+
 def repeated_lookup_codes(lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Codes a lookup table repeats; each would multiply the rows that join it."""
     return duplicate_keys(lookup, keys)

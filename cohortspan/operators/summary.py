@@ -5,18 +5,20 @@ at each level anew: district figures are not sums of school figures, as one
 student may attend several schools.
 
 Student rows are shuffled twice. First they are reduced to one row per student
-and school-level family, which holds the student's cells (receipt month x
-status) as the bits of one long; the reduction starts before the shuffle. Those
-compact rows are then spread by year and student, after which district and state
-families of the same student are local and cost no shuffle of their own. From
-there on only counts per (family, combination of cells) travel.
+and school-level family, which holds the student's receipt months as bits, one
+set of bits per status; the reduction starts before the shuffle. Those compact
+rows are then spread by year and student, after which district and state
+families of the same student are local and cost no shuffle of their own. The
+families of all levels are counted in one aggregation: the students, and for each
+cell (receipt month x status) those with its bit set. Only these counts travel,
+and the cells that occur are unfolded at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan import config as c
@@ -34,8 +36,9 @@ SENTINELS = {
     "SchoolCode": c.ALL_SCHOOLS, "SchoolName": c.ALL_SCHOOLS,
 }
 
-# Cells: 13 receipt months and one slot for none of them, by status or no status.
+# 13 receipt months and one slot for none of them.
 MONTH_SLOTS = len(c.MONTHS) + 2
+MONTH_NAMES = (*c.MONTHS, c.NO_RECEIPT, None)
 
 
 def family_keys(level: str, cfg: CohortConfig) -> list[str]:
@@ -43,46 +46,26 @@ def family_keys(level: str, cfg: CohortConfig) -> list[str]:
     return ["SchoolYear", *SCOPE[level], "Grade", *cfg.subgroups]
 
 
-def _status_slots(cfg: CohortConfig) -> int:
-    slots = len(cfg.statuses) + 1
-    if MONTH_SLOTS * slots > 63:
-        raise ValueError("too many status labels: the cells must fit the bits of a long")
-    return slots
-
-
-def cell_number(cfg: CohortConfig) -> Column:
-    """Number of a row's cell."""
-    status = F.lit(len(cfg.statuses))
-    for position, label in enumerate(cfg.statuses):
-        status = F.when(F.col("completedFAFSA") == label, F.lit(position)).otherwise(status)
+def _bits(cfg: CohortConfig) -> dict[str, Column]:
+    """Per status, and for rows without one, the row's receipt month as a bit."""
     month = F.coalesce(F.col("month_idx"), F.lit(MONTH_SLOTS)) - 1
-    return month * _status_slots(cfg) + status
-
-
-def cell_columns(cell: Column, cfg: CohortConfig) -> dict[str, Column]:
-    """A cell number back as month and status."""
-    slots = _status_slots(cfg)
-    month = F.floor(cell / slots).cast("int") + 1
-    statuses = F.array(*[F.lit(s) for s in cfg.statuses])
-    return {
-        "ApplicationReceiptMonth": col.month_name(month),
-        "completedFAFSA": F.try_element_at(statuses, (F.pmod(cell, F.lit(slots)) + 1).cast("int")),
-        "month_idx": F.when(month < MONTH_SLOTS, month),
-    }
+    bit = F.call_function("shiftleft", F.lit(1), month)
+    status = F.col("completedFAFSA")
+    known = F.coalesce(status.isin(*cfg.statuses), F.lit(False))
+    slots = [status.eqNullSafe(label) for label in cfg.statuses] + [~known]
+    return {f"months_{k}": F.when(here, bit).otherwise(F.lit(0)) for k, here in enumerate(slots)}
 
 
 def student_families(prepared: DataFrame, cfg: CohortConfig) -> dict[str, DataFrame]:
-    """Per level, one row per family and student with the student's cells as bits."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), cell_number(cfg))
-    school = prepared.withColumn("cells", bit)
-    school = school.groupBy(*family_keys("school", cfg), "StudentID").agg(
-        F.bit_or("cells").alias("cells")
-    )
+    """Per level, one row per family and student with the student's months as bits."""
+    bits = _bits(cfg)
+    either = [F.bit_or(name).alias(name) for name in bits]
+    school = prepared.withColumns(bits).groupBy(*family_keys("school", cfg), "StudentID").agg(*either)
     # A student has at most one row per school-level family by now, so no
     # partition can be overrun by one student, nor by rows without a student.
     lea = school.repartition("SchoolYear", "StudentID")
-    lea = lea.groupBy(*family_keys("lea", cfg), "StudentID").agg(F.bit_or("cells").alias("cells"))
-    state = lea.groupBy(*family_keys("state", cfg), "StudentID").agg(F.bit_or("cells").alias("cells"))
+    lea = lea.groupBy(*family_keys("lea", cfg), "StudentID").agg(*either)
+    state = lea.groupBy(*family_keys("state", cfg), "StudentID").agg(*either)
     return {"school": school, "lea": lea, "state": state}
 
 
@@ -99,29 +82,33 @@ def _labelled(students: DataFrame, level: str, cfg: CohortConfig) -> DataFrame:
         for name in ALL_SCOPE_COLUMNS
     ]
     return students.select(
-        F.lit(level).alias("level"), "SchoolYear", *scope, "Grade", *cfg.subgroups, "cells"
+        F.lit(level).alias("level"), "SchoolYear", *scope, "Grade", *cfg.subgroups, *_bits(cfg)
     )
 
 
 def _count_cells(students: DataFrame, cfg: CohortConfig) -> DataFrame:
-    """``n`` per cell and ``seniors`` per family from one count per combination of cells."""
+    """``seniors`` per family and ``n`` per cell, from one aggregation."""
     family = ["level", "SchoolYear", *ALL_SCOPE_COLUMNS, "Grade", *cfg.subgroups]
-    tally = students.groupBy(*family, "cells").agg(F.count(F.lit(1)).alias("students"))
-    last = MONTH_SLOTS * _status_slots(cfg) - 1
-    counts = (
-        tally.withColumn("seniors", F.sum("students").over(Window.partitionBy(*family)))
-        .withColumn("cell", F.expr(f"explode(sequence(0, {last}))"))
-        .filter("getbit(cells, cell) = 1")
-        .groupBy(*family, "seniors", "cell")
-        .agg(F.sum("students").alias("n"))
+    cells = [
+        (month, status, f"n_{month}_{slot}", f"sum(getbit(months_{slot}, {month - 1}))")
+        for month in range(1, MONTH_SLOTS + 1)
+        for slot, status in enumerate((*cfg.statuses, None))
+    ]
+    wide = students.groupBy(*family).agg(
+        F.count(F.lit(1)).alias("seniors"), *[F.expr(count).alias(name) for *_, name, count in cells]
     )
-    cell = cell_columns(F.col("cell"), cfg)
+    unfolded = F.array(*[
+        F.struct(
+            F.lit(MONTH_NAMES[month - 1]).cast("string").alias("ApplicationReceiptMonth"),
+            F.lit(status).cast("string").alias("completedFAFSA"),
+            F.col(name).alias("n"),
+            F.lit(month if month < MONTH_SLOTS else None).cast("int").alias("month_idx"),
+        )
+        for month, status, name, _ in cells
+    ])
+    counts = wide.select(*family, "seniors", F.inline(F.filter(unfolded, lambda cell: cell["n"] > 0)))
     return counts.select(
-        *family,
-        cell["ApplicationReceiptMonth"].alias("ApplicationReceiptMonth"),
-        cell["completedFAFSA"].alias("completedFAFSA"),
-        "n", "seniors",
-        cell["month_idx"].alias("month_idx"),
+        *family, "ApplicationReceiptMonth", "completedFAFSA", "n", "seniors", "month_idx",
         col.level_index(F.col("level")).alias("level_idx"),
     )
 

@@ -64,7 +64,7 @@ def _unfold(wide: DataFrame, keys: Sequence[str], cfg: CohortConfig, cumulative:
     return long.withColumn("completion_rate", col.rate(part, F.col("seniors")))
 
 
-def _pooled_lines(app: DataFrame, cfg: CohortConfig) -> DataFrame:
+def _pooled_lines(app: DataFrame, cfg: CohortConfig, *per: str) -> DataFrame:
     """Wide cumulative lines: months and pooled denominator per line.
 
     Grouping by year and denominator first makes every denominator count once
@@ -72,6 +72,7 @@ def _pooled_lines(app: DataFrame, cfg: CohortConfig) -> DataFrame:
     """
     keys = _line_keys(cfg)
     per_year = completed_rows(app, cfg).groupBy(*keys, "SchoolYear", "seniors").agg(*_month_totals(cfg))
+    keys = [*keys, *per]
     months = [f"m{m}" for m in range(1, cfg.trend_months + 1)]
     return per_year.groupBy(*keys).agg(
         F.coalesce(F.sum("seniors"), F.lit(0)).alias("seniors"),
@@ -207,16 +208,23 @@ def _with_requests(app: DataFrame, lines: DataFrame, cfg: CohortConfig, *per: st
     return requests.join(lines, [*LINE, *per, *subgroups])
 
 
-def trend_all_scopes(app: DataFrame, cfg: CohortConfig) -> DataFrame:
+def trend_all_scopes(
+    app: DataFrame, cfg: CohortConfig, years: tuple[int, int] | None = None, per_year: bool = False
+) -> DataFrame:
     """The cumulative trend of every school beside its district and the state.
 
     What a reader would see after picking each school in turn with all its
-    genders and races. Lines are computed once and staged, joined as wide rows,
-    and the months are unfolded last. ``app`` is read twice.
+    genders and races, over all years or those from the first to the last of
+    ``years``; with ``per_year`` also each of the years alone. Lines are computed
+    once and staged, joined as wide rows, and the months are unfolded last.
+    ``app`` is read twice.
     """
-    pooled = stage(_pooled_lines(app, cfg), "trend_lines")
-    lines = _with_label(_with_requests(app, pooled, cfg))
-    keys = ["scope_district", "scope_school", "group", "group_idx", "level", *cfg.subgroups]
+    if years is not None:
+        app = app.filter(F.col("SchoolYear").between(*years))
+    per = ("SchoolYear",) if per_year else ()
+    pooled = stage(_pooled_lines(app, cfg, *per), "trend_lines")
+    lines = _with_label(_with_requests(app, pooled, cfg, *per))
+    keys = [*per, "scope_district", "scope_school", "group", "group_idx", "level", *cfg.subgroups]
     return _unfold(lines, keys, cfg, cumulative=True)
 
 

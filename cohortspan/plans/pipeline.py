@@ -35,7 +35,7 @@ def selection_outputs(app: DataFrame, selection: Selection, cfg: CohortConfig) -
     without them it is monthly. The filtered set is persisted, as all outputs
     read it; it is returned as ``rows`` so that the caller can unpersist it.
     """
-    with_subgroups = selection.genders is not None or selection.races is not None
+    with_subgroups = bool(selection.subgroup_values)
     if not with_subgroups and selection.first_year != selection.last_year:
         raise ValueError("a selection without subgroups covers one school year")
     rows = detail.scope_filter(app, selection).persist()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortspan.config import NA_TOKENS
 from cohortspan.sources.schemas import EXTRACT_SCHEMA
@@ -16,10 +17,14 @@ def read_extract(
     """Read the extract; every NA token is NULL, blanks around values are dropped.
 
     All columns are read as text and cast by name, so neither column order nor
-    value-based type guessing matters. ``multiline`` allows line breaks inside
+    value-based type guessing matters. Files of one set must agree on their header,
+    else the job fails instead of reading values into the wrong columns. ``multiline`` allows line breaks inside
     quoted values, at the price of files that cannot be split between tasks.
     """
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multiline)
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multiline}
+    names = spark.read.csv(path, **options).columns
+    text = StructType([StructField(name, StringType()) for name in names])
+    raw = spark.read.schema(text).csv(path, enforceSchema=False, **options)
     cleaned = raw.select(
         *[
             F.when(~F.trim(F.col(f"`{name}`")).isin(*na_tokens), F.trim(F.col(f"`{name}`"))).alias(name)

@@ -13,33 +13,36 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+_open_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` names.
 
-    Only a local-mode session without the setting gets a folder of its own; on a
+    A local-mode session without the setting gets one for its lifetime; on a
     cluster a missing setting is an error, as a machine-local folder would be
     out of reach for the other machines.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="run-")
-    return _local_dirs[context.applicationId]
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        configured = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one staged table of this application."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    for paths in _open_scopes:
+        paths.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -48,3 +51,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Remove at the end what is staged inside.
+
+    Results have to be written or collected before, or staged with the function
+    that is given: its tables outlive this scope, though not one around it.
+    """
+    paths: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        table_path = stage_path(spark, name)
+        paths.remove(table_path)
+        df.write.parquet(table_path)
+        return spark.read.schema(df.schema).parquet(table_path)
+
+    _open_scopes.append(paths)
+    try:
+        yield kept
+    finally:
+        _open_scopes.remove(paths)
+        remove(spark, paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables wherever the shared folder lies."""
+    jvm = spark.sparkContext._jvm
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)

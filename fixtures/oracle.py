@@ -10,8 +10,8 @@ import re
 
 from cohortspan import config as c
 from cohortspan.sources.schemas import EXTRACT_SCHEMA, SOURCE_SCHEMAS
-from fixtures.queries import DISTRICT, ONE_YEAR, SCHOOL, SELECTION, YEARS
-from fixtures.views import AS_OF, CONFIG, EXCLUDED, VIEWS_SQL
+from fixtures.queries import DISTRICT, ENDS, ONE_YEAR, SCHOOL, SELECTION, YEARS
+from fixtures.views import AS_OF, CONFIG, EXCLUDED, LOW_INCOME, VIEWS_SQL
 
 LO, HI = min(YEARS), max(YEARS)
 
@@ -38,34 +38,31 @@ SCOPE = "DistrictCode, DistrictName, SchoolCode, SchoolName"
 PREP_KEPT = ", ".join(x for x in PREP_COLUMNS if x not in ("Gender", "CompletedFAFSA"))
 
 STEPS: dict[str, str] = dict(VIEWS_SQL)
-STEPS["asofdate"] = 'SELECT SchoolYear, max("AsOf") AS maxasof FROM fx_enrollment GROUP BY SchoolYear'
-STEPS["twelve_raw"] = f"""
+STEPS["newest"] = """
+    SELECT * FROM fx_enrollment e
+    WHERE NOT EXISTS (SELECT 1 FROM fx_enrollment later
+        WHERE later.SchoolYear = e.SchoolYear AND later."AsOf" > e."AsOf")"""
+STEPS["cohort_all"] = f"""
     SELECT {", ".join("e." + x for x in CARRIED)}, s.SchoolName, d.DistrictName, e.RaceEDEN AS RaceReportCode
-    FROM fx_enrollment e
-    JOIN fx_school s ON e.SchoolCode = s.SchoolCode AND e.SchoolYear = s.SchoolYear
-    JOIN fx_district d ON e.DistrictCode = d.DistrictCode AND e.SchoolYear = d.SchoolYear
-    JOIN asofdate a ON a.SchoolYear = e.SchoolYear AND e."AsOf" = a.maxasof
-    WHERE e.Grade = '12' AND e.SchoolCode NOT IN ({_quoted(EXCLUDED)})"""
-STEPS["twelve"] = f"""
-    SELECT * EXCLUDE (rn) FROM (
-        SELECT *, row_number() OVER (
-            PARTITION BY SchoolYear, StudentID, SchoolCode ORDER BY {DEDUP_ORDER}) AS rn
-        FROM twelve_raw) WHERE rn = 1"""
-STEPS["latest_isir_rows"] = """
-    SELECT * EXCLUDE (rn) FROM (
-        SELECT *, row_number() OVER (
-            PARTITION BY ISIRYear, StudentFirstName, StudentLastName, StudentDateOfBirth
-            ORDER BY CASE WHEN ApplicationReceiptDate IS NULL THEN 1 ELSE 0 END,
-                ApplicationReceiptDate DESC NULLS LAST, TransactionReceiptDate DESC NULLS LAST,
-                ISIRID DESC NULLS LAST) AS rn
-        FROM fx_isir) WHERE rn = 1"""
-STEPS["latest_isir"] = """
-    SELECT ISIRYear, StudentFirstName, StudentLastName, StudentDateOfBirth, ApplicationReceiptDate
-    FROM latest_isir_rows"""
+    FROM newest e
+    JOIN fx_school s USING (SchoolYear, SchoolCode)
+    JOIN fx_district d USING (SchoolYear, DistrictCode)
+    WHERE e.Grade = '12' AND NOT list_contains([{_quoted(EXCLUDED)}], e.SchoolCode)"""
+STEPS["students"] = f"""
+    SELECT DISTINCT ON (SchoolYear, StudentID, SchoolCode) * FROM cohort_all ORDER BY {DEDUP_ORDER}"""
+STEPS["last_receipt"] = """
+    SELECT ISIRYear, StudentFirstName, StudentLastName, StudentDateOfBirth,
+        max(ApplicationReceiptDate) AS ApplicationReceiptDate
+    FROM fx_isir GROUP BY ALL"""
+STEPS["last_application"] = """
+    SELECT arg_max(a, (a.ApplicationReceiptDate IS NOT NULL, coalesce(a.ApplicationReceiptDate, DATE '0001-01-01'),
+        coalesce(a.TransactionReceiptDate, DATE '0001-01-01'), a.ISIRID)) AS best
+    FROM fx_isir a
+    GROUP BY a.ISIRYear, a.StudentFirstName, a.StudentLastName, a.StudentDateOfBirth"""
 STEPS["matched"] = """
     SELECT t.*, i.ApplicationReceiptDate,
         CASE WHEN i.ApplicationReceiptDate IS NOT NULL THEN 'Y' ELSE 'N' END AS CompletedFAFSA
-    FROM twelve t LEFT JOIN latest_isir i
+    FROM students t LEFT JOIN last_receipt i
         ON i.ISIRYear = t.SchoolYear AND i.StudentLastName = t.LastName
         AND i.StudentFirstName = t.FirstName AND i.StudentDateOfBirth = t.BirthDate"""
 STEPS["labelled"] = f"""
@@ -94,6 +91,9 @@ STEPS["prepared_rows"] = _PREPARED.format(columns=f"""{PREP_KEPT},
         {_case("Gender", CONFIG.gender_labels)} AS gender,
         {_case("RaceReportTitle", CONFIG.race_labels, "RaceReportTitle")} AS race""")
 
+STEPS["prepared_low"] = _PREPARED.format(columns=f"""{PREP_KEPT},
+        {_case("LowIncome", LOW_INCOME.more_subgroups["low_income"].labels)} AS low_income""")
+
 LEVEL_SCOPE = {"school": SCOPE, "lea": "DistrictCode, DistrictName", "state": ""}
 LEVEL_LABELS = {
     "school": SCOPE,
@@ -107,12 +107,14 @@ def _comma(*parts: str) -> str:
     return ", ".join(p for p in parts if p)
 
 
-for _suffix, _subgroups in (("", "gender, race"), ("_nosub", "")):
+for _suffix, _subgroups, _rows in (
+    ("", "gender, race", "prepared_rows"), ("_nosub", "", "prepared_rows"), ("_low", "low_income", "prepared_low"),
+):
     for _position, _level in enumerate(c.LEVELS, start=1):
         _family = _comma("SchoolYear", LEVEL_SCOPE[_level], "Grade", _subgroups)
         STEPS[f"denoms_{_level}{_suffix}"] = f"""
             SELECT {_family}, count(*) AS seniors
-            FROM (SELECT DISTINCT {_family}, StudentID FROM prepared_rows) GROUP BY {_family}"""
+            FROM (SELECT DISTINCT {_family}, StudentID FROM {_rows}) GROUP BY {_family}"""
         _cell = f"{_family}, ApplicationReceiptMonth, completedFAFSA, month_idx"
         _match = " AND ".join(
             f"x.{k.strip()} IS NOT DISTINCT FROM d.{k.strip()}" for k in _family.split(",")
@@ -126,7 +128,7 @@ for _suffix, _subgroups in (("", "gender, race"), ("_nosub", "")):
                 SELECT x.*, d.seniors FROM (
                     SELECT {_cell}, count(DISTINCT StudentID)
                         + max(CASE WHEN StudentID IS NULL THEN 1 ELSE 0 END) AS n
-                    FROM prepared_rows GROUP BY {_cell}) x
+                    FROM {_rows} GROUP BY {_cell}) x
                 LEFT JOIN denoms_{_level}{_suffix} d ON {_match})"""
     STEPS[f"app{_suffix}"] = " UNION ALL BY NAME ".join(
         f"SELECT * FROM summary_{level}{_suffix}" for level in c.LEVELS
@@ -146,7 +148,7 @@ STEPS["selected_year"] = f"""
 
 _PLOT = f"""
     SELECT *, {LABEL} AS "group", level_idx AS group_idx FROM {{source}}
-    WHERE completedFAFSA = 'Complete' AND race <> 'NA' AND ApplicationReceiptMonth IN ({_quoted(TREND_MONTHS)})"""
+    WHERE completedFAFSA = 'Complete' AND {{known}} AND ApplicationReceiptMonth IN ({_quoted(TREND_MONTHS)})"""
 
 
 def _trend_steps(prefix: str, source: str, line: str) -> None:
@@ -154,10 +156,11 @@ def _trend_steps(prefix: str, source: str, line: str) -> None:
     same = lambda a, b: " AND ".join(
         f"{a}.{k.strip()} IS NOT DISTINCT FROM {b}.{k.strip()}" for k in line.split(",")
     )
-    STEPS[f"{prefix}plot"] = _PLOT.format(source=source)
+    yearly = line if "SchoolYear" in line else f"SchoolYear, {line}"
+    STEPS[f"{prefix}plot"] = _PLOT.format(source=source, known="race <> 'NA'" if "race" in line else "TRUE")
     STEPS[f"{prefix}denoms"] = f"""
         SELECT {line}, CAST(coalesce(sum(seniors), 0) AS BIGINT) AS seniors
-        FROM (SELECT DISTINCT SchoolYear, {line}, seniors FROM {prefix}plot) GROUP BY {line}"""
+        FROM (SELECT DISTINCT {yearly}, seniors FROM {prefix}plot) GROUP BY {line}"""
     STEPS[f"{prefix}monthly"] = f"""
         SELECT m.*, d.seniors FROM (
             SELECT {line}, month_idx, ApplicationReceiptMonth,
@@ -185,6 +188,10 @@ def _trend_steps(prefix: str, source: str, line: str) -> None:
 
 _trend_steps("sel_", "selected", 'level, "group", group_idx, gender, race')
 _trend_steps("all_", "app", "level, DistrictName, SchoolName, gender, race")
+STEPS["app_range"] = f"SELECT * FROM app WHERE SchoolYear BETWEEN {LO} AND {HI}"
+_trend_steps("range_", "app_range", "level, DistrictName, SchoolName, gender, race")
+_trend_steps("each_", "app", "SchoolYear, level, DistrictName, SchoolName, gender, race")
+_trend_steps("low_", "app_low", "level, DistrictName, SchoolName, low_income")
 
 MONTHLY_LINE = f"level, SchoolYear, {SCOPE}, Grade"
 
@@ -206,18 +213,34 @@ def _monthly(source: str) -> str:
 STEPS["monthly_year"] = _monthly("selected_year")
 STEPS["monthly_all"] = _monthly("app_nosub")
 
-STEPS["scopes"] = """
-    SELECT DISTINCT DistrictName AS scope_district, SchoolName AS scope_school, gender, race
-    FROM app WHERE level = 'school' AND DistrictName IS NOT NULL AND SchoolName IS NOT NULL"""
 STEPS["first_district"] = f"""
     SELECT min(DistrictName) AS district FROM app WHERE level = 'lea' AND SchoolYear IN ({LO}, {HI})"""
 STEPS["first_school"] = f"""
     SELECT district, min(SchoolName) AS school FROM app, first_district
     WHERE level = 'school' AND SchoolYear IN ({LO}, {HI}) AND DistrictName = district GROUP BY district"""
-STEPS["facets"] = """
-    SELECT DISTINCT a.scope_district, a.scope_school, a.gender, b.race
-    FROM scopes a JOIN scopes b USING (scope_district, scope_school)
-    WHERE a.gender IS NOT NULL AND b.race IS NOT NULL"""
+
+
+def _facets(source: str, subgroups: tuple[str, ...], per: str = "") -> str:
+    """Every school with each combination of its own categories."""
+    scope = _comma(per, "DistrictName", "SchoolName")
+    rows = f"FROM {source} WHERE level = 'school' AND DistrictName IS NOT NULL AND SchoolName IS NOT NULL"
+    own = [f"(SELECT DISTINCT {scope}, {s} {rows} AND {s} IS NOT NULL)" for s in subgroups]
+    return f"SELECT {scope}, {', '.join(subgroups)} FROM {own[0]}" + "".join(f" JOIN {x} USING ({scope})" for x in own[1:])
+
+
+def _all_scopes(lines: str, source: str, subgroups: tuple[str, ...], per: str = "") -> str:
+    """The lines of every school, its district and the state."""
+    same = " AND ".join(f"f.{k} = l.{k}" for k in (*subgroups, *([per] if per else [])))
+    return f"""
+        SELECT {_comma(per and "l." + per, "f.DistrictName AS scope_district", "f.SchoolName AS scope_school")},
+            CASE level WHEN 'school' THEN l.SchoolName WHEN 'lea' THEN l.DistrictName ELSE 'State' END AS "group",
+            CASE level WHEN 'school' THEN 1 WHEN 'lea' THEN 2 ELSE 3 END AS group_idx,
+            l.level, {", ".join("l." + s for s in subgroups)}, l.seniors, l.month_idx, l.ApplicationReceiptMonth,
+            l.completed, l.cum_completed, l.completion_rate
+        FROM ({_facets(source, subgroups, per)}) f JOIN {lines} l ON {same} AND (
+            (l.level = 'school' AND l.DistrictName = f.DistrictName AND l.SchoolName = f.SchoolName)
+            OR (l.level = 'lea' AND l.DistrictName = f.DistrictName)
+            OR l.level = 'state')"""
 
 
 def _sql(body: str) -> str:
@@ -284,21 +307,20 @@ _BODIES = {
     "csv_na_tokens": "SELECT * FROM extract_rows",
     "optional_year_filter":
         "SELECT SchoolYear, StudentID, SchoolCode, Grade FROM fx_enrollment WHERE SchoolYear = 1999",
-    "latest_snapshot": "SELECT * FROM asofdate",
+    "latest_snapshot": 'SELECT DISTINCT SchoolYear, "AsOf" AS maxasof FROM newest',
     "dim_join": """
         SELECT e.SchoolYear, e.StudentID, e.SchoolCode, s.SchoolName, e.DistrictCode, d.DistrictName
         FROM fx_enrollment e
         JOIN fx_school s ON e.SchoolCode = s.SchoolCode AND e.SchoolYear = s.SchoolYear
         JOIN fx_district d ON e.DistrictCode = d.DistrictCode AND e.SchoolYear = d.SchoolYear""",
     "snapshot_rows": """
-        SELECT e.SchoolYear, e."AsOf", e.StudentID, e.SchoolCode, e.Grade FROM fx_enrollment e
-        JOIN asofdate a ON a.SchoolYear = e.SchoolYear AND a.maxasof = e."AsOf" """,
+        SELECT SchoolYear, "AsOf", StudentID, SchoolCode, Grade FROM newest""",
     "cohort_filter": f"""
         SELECT SchoolYear, StudentID, SchoolCode, Grade FROM fx_enrollment
         WHERE Grade = '12' AND SchoolCode NOT IN ({_quoted(EXCLUDED)})""",
-    "dedup_cohort": "SELECT * FROM twelve",
-    "latest_application": "SELECT * FROM latest_isir",
-    "latest_application_rows": "SELECT * FROM latest_isir_rows",
+    "dedup_cohort": "SELECT * FROM students",
+    "latest_application": "SELECT * FROM last_receipt",
+    "latest_application_rows": "SELECT best.* FROM last_application",
     "match_applications":
         f"SELECT {GRAIN}, LastName, FirstName, BirthDate, ApplicationReceiptDate FROM matched",
     "race_title": f"SELECT {GRAIN}, RaceReportCode, RaceReportTitle FROM labelled",
@@ -315,11 +337,16 @@ _BODIES = {
     "qa_duplicate_keys":
         f"SELECT {ENROLMENT_KEY}, count(*) AS n FROM extract_rows GROUP BY {ENROLMENT_KEY} HAVING count(*) > 1",
     "qa_duplicate_keys_raw":
-        f"SELECT {ENROLMENT_KEY}, count(*) AS n FROM twelve_raw GROUP BY {ENROLMENT_KEY} HAVING count(*) > 1",
+        f"SELECT {ENROLMENT_KEY}, count(*) AS n FROM cohort_all GROUP BY {ENROLMENT_KEY} HAVING count(*) > 1",
     "qa_multi_enrolled": f"""
         SELECT SchoolYear, StudentID, count(*) AS n
         FROM (SELECT DISTINCT {ENROLMENT_KEY} FROM extract_rows)
         GROUP BY SchoolYear, StudentID HAVING count(*) > 1""",
+    "qa_lookup_codes": " UNION ALL ".join(
+        f"""SELECT '{table}' AS code_table, count(*) AS codes, count(*) FILTER (n > 1) AS repeated
+            FROM (SELECT {keys}, count(*) AS n FROM fx_{table} GROUP BY {keys})"""
+        for table, keys in (("school", "SchoolYear, SchoolCode"), ("district", "SchoolYear, DistrictCode"),
+                            ("race_code", "RaceReportCode"), ("sped_code", "SpEd"))),
     "qa_crosstab_status": _crosstab("CompletedFAFSA"),
     "qa_crosstab_gender": _crosstab("Gender"),
     "qa_crosstab_race": _crosstab("RaceReportTitle"),
@@ -367,9 +394,9 @@ _BODIES = {
             (SELECT min(race) FROM app WHERE race <> 'NA') AS race""",
     "district_choices": _choice("DistrictName", f"level = 'lea' AND {ENDPOINTS}"),
     "school_choices":
-        _choice("SchoolName", f"level = 'school' AND {ENDPOINTS} AND DistrictName = '{DISTRICT}'"),
+        _choice("SchoolName", f"level = 'school' AND SchoolYear IN {ENDS} AND DistrictName = '{DISTRICT}'"),
     "school_choices_range": _choice(
-        "SchoolName", f"level = 'school' AND SchoolYear BETWEEN {LO} AND {HI} AND DistrictName = '{DISTRICT}'"),
+        "SchoolName", f"level = 'school' AND SchoolYear BETWEEN {ENDS[0]} AND {ENDS[1]} AND DistrictName = '{DISTRICT}'"),
     "subgroup_choices": f"""
         SELECT DISTINCT kind, value FROM (
             SELECT 'gender' AS kind, gender AS value, * FROM app
@@ -417,15 +444,11 @@ _BODIES = {
         SELECT * EXCLUDE (total) FROM (
             SELECT *, sum(completed) OVER (PARTITION BY {MONTHLY_LINE}) AS total FROM monthly_all)
         WHERE total = 0""",
-    "trend_all_scopes": f"""
-        SELECT f.scope_district, f.scope_school, {LABEL} AS "group",
-            CASE level WHEN 'school' THEN 1 WHEN 'lea' THEN 2 ELSE 3 END AS group_idx,
-            l.level, l.gender, l.race, l.seniors, l.month_idx, l.ApplicationReceiptMonth,
-            l.completed, l.cum_completed, l.completion_rate
-        FROM facets f JOIN all_cumulative l ON f.gender = l.gender AND f.race = l.race AND (
-            (l.level = 'school' AND l.DistrictName = f.scope_district AND l.SchoolName = f.scope_school)
-            OR (l.level = 'lea' AND l.DistrictName = f.scope_district)
-            OR l.level = 'state')""",
+    "trend_all_scopes": _all_scopes("all_cumulative", "app", c.SUBGROUPS),
+    "trend_all_scopes_range": _all_scopes("range_cumulative", "app_range", c.SUBGROUPS),
+    "trend_all_scopes_per_year": _all_scopes("each_cumulative", "app", c.SUBGROUPS, "SchoolYear"),
+    "app_data_other_subgroup": "SELECT * FROM app_low",
+    "trend_other_subgroup": _all_scopes("low_cumulative", "app_low", ("low_income",)),
     "monthly_trend_all_scopes": """
         SELECT s.scope_district, s.scope_school, l.* FROM (
             SELECT DISTINCT SchoolYear, DistrictName AS scope_district, SchoolName AS scope_school
@@ -436,4 +459,19 @@ _BODIES = {
             OR l.level = 'state')""",
 }
 
+
+
+def _outputs(trend: str, note: str, rows: str) -> str:
+    return f"""
+        SELECT 'trend' AS part, NULL::INTEGER AS year, "group" AS line, ApplicationReceiptMonth AS month,
+            completed AS n, seniors, rate_label AS label FROM ({trend})
+        UNION ALL SELECT 'note', NULL, NULL, NULL, NULL, NULL, note FROM ({note})
+        UNION ALL SELECT 'table', SchoolYear, SchoolName, ApplicationReceiptMonth, n, seniors, completedFAFSA
+        FROM {rows}"""
+
+
+_BODIES["selection_outputs_range"] = _outputs(_BODIES["trend_labels"], _BODIES["scope_note"], "selected")
+_BODIES["selection_outputs_year"] = _outputs(
+    _BODIES["monthly_trend_labels"], _BODIES["scope_note_year"], "selected_year"
+)
 ORACLES = {name: _sql(body) for name, body in _BODIES.items()}

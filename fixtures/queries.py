@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from cohortspan.config import Selection
 from cohortspan.functions import columns as col
 from cohortspan.operators import choices, detail, extract, prep, quality, summary, trend
-from cohortspan.plans import build_app_data
+from cohortspan.plans import build_app_data, selection_outputs
 from cohortspan.sources import export_csv, load_app_data, read_extract, write_app_data
 from cohortspan.sources.tables import conform
 from cohortspan.staging import stage, stage_path
 from fixtures import views
-from fixtures.views import AS_OF, CONFIG
+from fixtures.views import AS_OF, CONFIG, LOW_INCOME
 
 NOSUB = replace(CONFIG, subgroups=())
-YEARS = (1997, 2000)
-ONE_YEAR = 2000
+YEARS = (1999, 2001)
+ENDS = (1996, 2000)  # between them lies a school that neither end has
+ONE_YEAR = 1999
 DISTRICT = "NATION_11"
 SCHOOL = "School 116 (2001)"
 SELECTION = Selection(
@@ -235,6 +236,12 @@ def qa_multi_enrolled(spark, sf_dir):
     return quality.multi_enrolled(_extract(spark, sf_dir))
 
 
+@query
+def qa_lookup_codes(spark, sf_dir):
+    """Codes of the four code tables, and how many of them a table repeats."""
+    return quality.lookup_reports(views.sources(spark, sf_dir))
+
+
 @query
 def qa_crosstab_status(spark, sf_dir):
     return quality.yearly_crosstab(_extract(spark, sf_dir), "CompletedFAFSA")
@@ -388,12 +395,12 @@ def district_choices(spark, sf_dir):
 
 @query
 def school_choices(spark, sf_dir):
-    return choices.school_choices(_app(spark, sf_dir), YEARS, DISTRICT)
+    return choices.school_choices(_app(spark, sf_dir), ENDS, DISTRICT)
 
 
 @query
 def school_choices_range(spark, sf_dir):
-    return choices.school_choices(_app(spark, sf_dir), YEARS, DISTRICT, whole_range=True)
+    return choices.school_choices(_app(spark, sf_dir), ENDS, DISTRICT, whole_range=True)
 
 
 @query
@@ -516,6 +523,63 @@ def trend_all_scopes(spark, sf_dir):
     return trend.trend_all_scopes(stage(_app(spark, sf_dir), "app_data"), CONFIG)
 
 
+@query
+def trend_all_scopes_range(spark, sf_dir):
+    """The same for a choice of years."""
+    return trend.trend_all_scopes(stage(_app(spark, sf_dir), "app_data"), CONFIG, years=YEARS)
+
+
+@query
+def trend_all_scopes_per_year(spark, sf_dir):
+    """Each year alone, the latest of which is the opening view."""
+    return trend.trend_all_scopes(stage(_app(spark, sf_dir), "app_data"), CONFIG, per_year=True)
+
+
+@query
+def app_data_other_subgroup(spark, sf_dir):
+    """The summary by a subgroup that only the configuration knows."""
+    return _app(spark, sf_dir, LOW_INCOME)
+
+
+@query
+def trend_other_subgroup(spark, sf_dir):
+    return trend.trend_all_scopes(stage(_app(spark, sf_dir, LOW_INCOME), "app_data"), LOW_INCOME)
+
+
+def _as_one(outputs):
+    """Trend, note and table of one selection as parts of one result."""
+    parts = {
+        "trend": {
+            "line": "group", "month": "ApplicationReceiptMonth", "n": "completed", "seniors": "seniors",
+            "label": "rate_label",
+        },
+        "note": {"label": "note"},
+        "table": {
+            "year": "School Year", "line": "School Name", "month": "Application Receipt Month", "n": "Count",
+            "seniors": "Seniors", "label": "Status",
+        },
+    }
+    kinds = {"year": "int", "line": "string", "month": "string", "n": "bigint", "seniors": "bigint", "label": "string"}
+    frames = [
+        outputs[part].select(
+            F.lit(part).alias("part"),
+            *[(F.col(f"`{names[c]}`") if c in names else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()],
+        )
+        for part, names in parts.items()
+    ]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@query
+def selection_outputs_range(spark, sf_dir):
+    return _as_one(selection_outputs(stage(_app(spark, sf_dir), "app_data"), SELECTION, CONFIG))
+
+
+@query
+def selection_outputs_year(spark, sf_dir):
+    return _as_one(selection_outputs(stage(_app(spark, sf_dir, NOSUB), "app_data"), YEAR_SELECTION, CONFIG))
+
+
 @query
 def monthly_trend_all_scopes(spark, sf_dir):
     return trend.monthly_trend_all_scopes(stage(_app(spark, sf_dir, NOSUB), "app_data"), NOSUB)

@@ -10,16 +10,21 @@ lists are fixed, as in any warehouse.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortspan.config import CohortConfig
+from cohortspan.config import CohortConfig, Subgroup
 from cohortspan.sources import load_sources
 
 AS_OF = dt.date(2024, 7, 1)
-CODE_YEARS = (1990, 2030)
 EXCLUDED = ("16", "30", "50", "145")
 CONFIG = CohortConfig(excluded_schools=EXCLUDED, min_year=1996)
+LOW_INCOME = replace(
+    CONFIG, subgroups=("low_income",),
+    more_subgroups={"low_income": Subgroup("LowIncome", {"Y": "Low income", "N": "Other"})},
+)
 
 # Code 5 and the SpEd codes 4 and 5 have no entry, so lookups also miss.
 RACE_TITLES = {
@@ -95,22 +100,31 @@ def isir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ISIR_SQL, lineitem=lineitem, orders=orders)
 
 
-_YEARS = f"explode(sequence({CODE_YEARS[0]}, {CODE_YEARS[1]})) AS SchoolYear"
+def _yearly(spark: SparkSession, sf_dir: str, codes: DataFrame) -> DataFrame:
+    """Each code in every year that has an order."""
+    years = spark.sql(
+        "SELECT collect_set(CAST(year(o_orderdate) AS INT)) AS years FROM {orders}",
+        orders=_table(spark, sf_dir, "orders"),
+    )
+    return codes.select("*", F.explode(years.scalar()).alias("SchoolYear"))
 
 
 def school(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
+    codes = (
         _table(spark, sf_dir, "nation")
         .selectExpr("n_nationkey", "explode(sequence(0, 9)) AS digit")
-        .selectExpr("CAST(n_nationkey * 10 + digit AS STRING) AS SchoolCode", _YEARS)
-        .selectExpr("*", "'School ' || SchoolCode || ' (' || SchoolYear || ')' AS SchoolName")
+        .selectExpr("CAST(n_nationkey * 10 + digit AS STRING) AS SchoolCode")
+    )
+    return _yearly(spark, sf_dir, codes).selectExpr(
+        "*", "'School ' || SchoolCode || ' (' || SchoolYear || ')' AS SchoolName"
     )
 
 
 def district(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "nation").selectExpr(
-        "CAST(n_nationkey AS STRING) AS DistrictCode", "n_name AS DistrictName", _YEARS
+    codes = _table(spark, sf_dir, "nation").selectExpr(
+        "CAST(n_nationkey AS STRING) AS DistrictCode", "n_name AS DistrictName"
     )
+    return _yearly(spark, sf_dir, codes)
 
 
 def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -131,17 +145,17 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 VIEWS_SQL = {
     "fx_enrollment": ENROLLMENT_SQL.format(asof='"AsOf"', orders="orders", customer="customer"),
     "fx_isir": ISIR_SQL.format(lineitem="lineitem", orders="orders"),
-    "fx_school": f"""
+    "fx_school": """
         SELECT SchoolYear, SchoolCode, 'School ' || SchoolCode || ' (' || SchoolYear || ')' AS SchoolName
         FROM (
             SELECT CAST(y.y AS INTEGER) AS SchoolYear,
                 CAST(n_nationkey * 10 + d.d AS VARCHAR) AS SchoolCode
-            FROM nation, range(0, 10) AS d(d), range({CODE_YEARS[0]}, {CODE_YEARS[1] + 1}) AS y(y)
+            FROM nation, range(0, 10) AS d(d), (SELECT DISTINCT year(o_orderdate) AS y FROM orders) AS y
         ) codes""",
-    "fx_district": f"""
+    "fx_district": """
         SELECT CAST(y.y AS INTEGER) AS SchoolYear, CAST(n_nationkey AS VARCHAR) AS DistrictCode,
             n_name AS DistrictName
-        FROM nation, range({CODE_YEARS[0]}, {CODE_YEARS[1] + 1}) AS y(y)""",
+        FROM nation, (SELECT DISTINCT year(o_orderdate) AS y FROM orders) AS y""",
     "fx_race_code": RACE_CODE_SQL,
     "fx_sped_code": SPED_CODE_SQL,
 }
