@@ -7,17 +7,19 @@ anywhere else too.
    anchor. It depends on the window's words alone, so equal windows have equal
    anchors, and neighbouring windows mostly share one: there are about as many
    anchors as two in every ``window - phrase`` words.
-2. Confirming. Only stretches around anchors that occur twice go on. All their
-   windows are counted by a 128-bit hash; those found twice recur.
-3. Automata. The recurring windows, spelled out, are spread over shards by their
-   anchor. Each shard compiles its own into an Aho-Corasick automaton over words
-   and streams through it every stretch with an anchor of that shard, so every
-   occurrence of every recurring window is located.
-4. Removing. A text's occurrences are put together and its covered words removed.
+2. Confirming. Only stretches around anchors that occur twice go on. Their windows
+   are counted by anchor and hash, 128 bits together; those found twice recur.
+3. Automata. Recurring windows and stretches are spread over shards by their
+   anchor. Each shard compiles the anchor phrases of its recurring windows into an
+   Aho-Corasick automaton over words and streams its stretches through it. Around
+   every phrase located, the windows that recur are marked, so every occurrence
+   of every recurring window is found.
+4. Removing. A text's marked stretches are put together and the words removed.
 
 Equal texts are handled once, with their number as weight. The texts are written
-once in buckets by key, so that joining stretches or occurrences to them moves
-only those. Crowded shards are split: patterns into parts, stretches over salts.
+once in buckets by key, so that joining stretches or spans to them moves only
+those. Crowded shards are split: windows into parts, stretches over salts. What
+a step leaves on disk is removed once the next has used it.
 """
 
 from __future__ import annotations
@@ -28,19 +30,20 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.llm.texts import as_bytes, slices, split_words
-from cohortspan.staging import stage, stage_path
+from cohortspan.llm.texts import as_bytes, runs, slices, split_words
+from cohortspan.staging import stage, stage_path, staged_tables
 
 WINDOW = 35
 PHRASE = 8
-SHARD_PATTERNS = 20_000
-SHARD_STRETCHES = 100_000
+SHARD_WINDOWS = 100_000
+SHARD_STRETCHES = 40_000
 BASE = 0x9E3779B97F4A7C15  # odd, so that no information is lost by multiplying
-OTHER_WORD = chr(0x10FFFF)
+OTHER_WORD = 0x10FFFF
 
 
 def rolled(values: np.ndarray, size: int) -> np.ndarray:
@@ -91,9 +94,10 @@ def _anchors(window: int, phrase: int):
             columns = [
                 pa.array(phrases[anchor[first]].view(np.int64)), batch.column("key").take(pa.array(of)),
                 pa.array((inside[first] - begin).astype(np.int32)), pa.array((inside[last] - begin).astype(np.int32)),
+                pa.array((anchor[first] - inside[first]).astype(np.int32)),
                 batch.column("copies").take(pa.array(of)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "key", "first", "last", "copies"])
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "key", "first", "last", "phrase", "copies"])
 
     return run
 
@@ -109,7 +113,7 @@ def _stretches(window: int):
                 words = text.split()
                 for a in found:
                     part = b" ".join(words[a["first"]:a["last"] + window]).decode()
-                    rows.append((a["anchor"], key, a["first"], copies, part))
+                    rows.append((a["anchor"], key, a["first"], a["phrase"], copies, part))
                 if len(rows) > 20_000:
                     yield _rows(rows, STRETCH)
                     rows = []
@@ -120,7 +124,8 @@ def _stretches(window: int):
 
 
 STRETCH = pa.schema([
-    ("anchor", pa.int64()), ("key", pa.binary()), ("first", pa.int32()), ("copies", pa.int64()), ("words", pa.string()),
+    ("anchor", pa.int64()), ("key", pa.binary()), ("first", pa.int32()), ("phrase", pa.int32()),
+    ("copies", pa.int64()), ("words", pa.string()),
 ])
 
 
@@ -130,80 +135,129 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def _windows(window: int):
-    """Two hashes of every window and where it stands: 32 times the stretch's number plus its place."""
+def window_hashes(words: pa.Array, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every window that lies in one text, its text's number and its first word's place among all."""
+    text_of = np.repeat(np.arange(len(counts)), counts)
+    if len(words) < window:
+        return np.zeros(0, np.int64), np.zeros(0, int), np.zeros(0, int)
+    inside = np.flatnonzero(text_of[: len(words) - window + 1] == text_of[window - 1:])
+    return rolled(word_hashes(words, 1), window)[inside].view(np.int64), text_of[inside], inside
+
+
+def split_joined(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``split_words`` of stretches, which are words joined by one blank."""
+    cut = pc.split_pattern(texts, " ")
+    return cut.flatten(), np.diff(cut.offsets.to_numpy())
+
 
+def joined(anchor: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Anchor and window hash in one number, to look both up at once; what is found is compared in full."""
+    return mixed(anchor.view(np.uint64)) ^ window.view(np.uint64)
+
+
+def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "words"):
-            words, counts = split_words(batch.column("words"))
-            text_of = np.repeat(np.arange(len(counts)), counts)
-            inside = np.flatnonzero(text_of[: len(words) - window + 1] == text_of[window - 1:])
-            of = text_of[inside]
-            place = inside - (np.cumsum(counts) - counts)[of]
-            hashes = [rolled(word_hashes(words, seed), window)[inside].view(np.int64) for seed in (1, 2)]
-            where = batch.column("stretch").to_numpy()[of] * 32 + place
+            hashes, of, _ = window_hashes(*split_joined(batch.column("words")), window)
+            rows = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, hashes), pa.array(where), batch.column("copies").take(pa.array(of))],
-                ["hash_1", "hash_2", "place", "copies"],
+                [batch.column("anchor").take(rows), pa.array(hashes), batch.column("copies").take(rows)],
+                ["anchor", "hash", "copies"],
             )
 
     return run
 
 
-class Automaton:
-    """An Aho-Corasick automaton over words; every word of a pattern is one character to it."""
+def compiled(phrases: list[list[int]]) -> ahocorasick.Automaton:
+    """An Aho-Corasick automaton over words, each word being one character to it."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for phrase in phrases:
+        automaton.add_word("".join(map(chr, phrase)))
+    automaton.make_automaton()
+    return automaton
 
-    def __init__(self, patterns: list[list[str]]) -> None:
-        distinct = sorted({w for pattern in patterns for w in pattern})
-        # code points without the surrogates, which are no characters
-        self.sign = {w: chr(k if k < 0xD800 else k + 0x800) for k, w in enumerate(distinct)}
-        self.found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for pattern in patterns:
-            self.found.add_word("".join([self.sign[w] for w in pattern]))
-        self.found.make_automaton()
 
-    def starts(self, words: list[str]) -> list[int]:
-        """Where in the words a pattern starts."""
-        get = self.sign.get
-        signs = "".join([get(w, OTHER_WORD) for w in words])
-        return [end + 1 - length for end, length in self.found.iter(signs)]
+def shard_spans(shard: pa.Table, window: int, phrase: int) -> pa.RecordBatch | None:
+    """The stretches of a shard that recurring windows cover.
+
+    Rows with a ``hash`` are recurring windows, the others stretches.
+    """
+    known = shard.filter(shard["hash"].is_valid())
+    stretches = shard.filter(shard["hash"].is_null()).combine_chunks()
+    if not known.num_rows or not stretches.num_rows:
+        return None
+    known_anchor, known_hash = known["anchor"].to_numpy(), known["hash"].to_numpy()
+    both = joined(known_anchor, known_hash)
+    order = np.argsort(both)
+    both, known_anchor, known_hash = both[order], known_anchor[order], known_hash[order]
+    anchors = stretches["anchor"].to_numpy()
+    words, counts = split_joined(stretches["words"].combine_chunks())
+    begins = np.cumsum(counts) - counts
+    coded = words.dictionary_encode()
+    number = coded.indices.to_numpy()
+
+    # phrases of recurring anchors, from a stretch that holds each
+    wanted, at = np.unique(anchors, return_index=True)
+    at = at[np.isin(wanted, known_anchor)]
+    if not len(at):
+        return None
+    places = begins[at] + stretches["phrase"].to_numpy()[at]
+    in_phrases = np.unique(number[places[:, None] + np.arange(phrase)])
+    sign = np.full(len(coded.dictionary), OTHER_WORD, np.uint32)
+    codes = np.arange(len(in_phrases), dtype=np.uint32)
+    sign[in_phrases] = np.where(codes < 0xD800, codes, codes + 0x800)  # surrogates are no characters
+    # the stretches in a row, with a character between them that is in no phrase
+    text = np.insert(sign[number], begins, OTHER_WORD)
+    automaton = compiled([sign[number[p:p + phrase]].tolist() for p in places.tolist()])
+    located = np.zeros(len(words) + 1, bool)
+    row = text.astype("<u4").tobytes().decode("utf-32-le")
+    ends = np.fromiter((end for end, _ in automaton.iter(row)), np.int64)
+    if len(ends):
+        stretch_of = np.searchsorted(begins + np.arange(len(begins)), ends, side="right") - 1
+        located[ends - stretch_of - phrase] = True  # each stretch has one more character before it
+
+    hashes, of, place = window_hashes(words, counts, window)
+    slot = np.minimum(np.searchsorted(both, joined(anchors[of], hashes)), len(both) - 1)
+    recurs = (known_anchor[slot] == anchors[of]) & (known_hash[slot] == hashes)
+    hit = np.flatnonzero(recurs & located[begins[of] + stretches["phrase"].to_numpy()[of]])
+    if not len(hit):
+        return None
+    of, start = of[hit], (place - begins[of])[hit]
+    new = np.ones(len(hit), bool)
+    new[1:] = (of[1:] != of[:-1]) | (start[1:] > start[:-1] + window)
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:], [len(hit)])) - 1
+    offset = stretches["first"].to_numpy()[of[first]]
+    return pa.RecordBatch.from_arrays(
+        [
+            stretches["key"].combine_chunks().take(pa.array(of[first])),
+            pa.array((offset + start[first]).astype(np.int32)),
+            pa.array((offset + start[last] + window).astype(np.int32)),
+        ],
+        ["key", "from", "to"],
+    )
 
 
-def _locate(window: int):
+def _locate(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, patterns, automaton, rows = None, [], None, []
+        held: list[pa.RecordBatch] = []
+        current = None
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = (row["shard"], row["part"], row["salt"])
-                if shard != current:
-                    current, patterns, automaton = shard, [], None
-                words = row["words"].split(" ")
-                if row["at"] is not None:  # patterns sort before the stretches of their shard
-                    patterns += [words[a:a + window] for a in row["at"]]
-                    continue
-                if automaton is None:
-                    automaton = Automaton(patterns) if patterns else ()
-                if not automaton:
-                    continue
-                begin = end = None
-                for start in automaton.starts(words):
-                    if begin is None or start > end:
-                        if begin is not None:
-                            rows.append((row["key"], row["first"] + begin, row["first"] + end))
-                        begin = start
-                    end = start + window
-                if begin is not None:
-                    rows.append((row["key"], row["first"] + begin, row["first"] + end))
-            if rows:
-                yield _rows(rows, SPAN)
-                rows = []
+            ids = [batch.column(c).to_numpy() for c in ("shard", "part", "salt")]
+            for start, stop in zip(*runs(*ids)):
+                shard = tuple(int(x[start]) for x in ids)
+                if shard != current and held:
+                    if (spans := shard_spans(pa.Table.from_batches(held), window, phrase)) is not None:
+                        yield spans
+                    held = []
+                current = shard
+                held.append(batch.slice(start, stop - start))
+        if held and (spans := shard_spans(pa.Table.from_batches(held), window, phrase)) is not None:
+            yield spans
 
     return run
 
 
-SPAN = pa.schema([("key", pa.binary()), ("from", pa.int32()), ("to", pa.int32())])
-
-
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
@@ -238,87 +292,89 @@ def _bucketed(df: DataFrame, buckets: int) -> tuple[DataFrame, str]:
 
 def repeated_windows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     """``key``, ``from`` and ``to`` of stretches of words covered by recurring windows."""
-    anchors = stage(
-        texts.mapInArrow(_anchors(window, phrase), "anchor long, key binary, first int, last int, copies long"), "anchors"
-    )
-    twice = anchors.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
-    found = anchors.join(twice, "anchor").groupBy("key").agg(
-        F.collect_list(F.struct("anchor", "first", "last")).alias("found")
+    spark = texts.sparkSession
+    with staged_tables(spark) as kept:
+        anchors = stage(
+            texts.mapInArrow(
+                _anchors(window, phrase), "anchor long, key binary, first int, last int, phrase int, copies long"
+            ),
+            "anchors",
+        )
+        twice = stage(anchors.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"), "twice")
+        found = anchors.drop("copies").join(twice, "anchor").groupBy("key").agg(
+            F.collect_list(F.struct("anchor", "first", "last", "phrase")).alias("found")
+        )
+        stretches = kept(
+            texts.join(found.hint("shuffle_hash"), "key").mapInArrow(
+                _stretches(window), "anchor long, key binary, first int, phrase int, copies long, words string"
+            ),
+            "stretches",
+        )
+    windows = stretches.select("anchor", "words", "copies").mapInArrow(
+        _windows(window), "anchor long, hash long, copies long"
     )
-    stretches = stage(
-        texts.join(found.hint("shuffle_hash"), "key")
-        .mapInArrow(_stretches(window), "anchor long, key binary, first int, copies long, words string")
-        .withColumn("stretch", F.monotonically_increasing_id()),
-        "stretches",
-    )
-    windows = stretches.select("words", "stretch", "copies").mapInArrow(
-        _windows(window), "hash_1 long, hash_2 long, place long, copies long"
-    )
-    recurring = windows.groupBy("hash_1", "hash_2").agg(F.sum("copies").alias("n"), F.min("place").alias("place"))
-    chosen = recurring.where("n > 1").groupBy(F.expr("place div 32").alias("stretch")).agg(
-        F.collect_list((F.col("place") % 32).cast("int")).alias("at")
-    )
-    patterns = stage(stretches.join(chosen, "stretch").select("anchor", "stretch", "words", "at"), "patterns")
-
-    amount = patterns.agg(F.coalesce(F.sum(F.size("at")), F.lit(0)).alias("n")).first()["n"]
-    shards = -(-amount // SHARD_PATTERNS) or 1
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
-    sizes = patterns.groupBy(shard.alias("shard")).agg(F.sum(F.size("at")).alias("patterns")).join(
-        stretches.groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("stretches")), "shard"
+    recurring = stage(
+        windows.groupBy("anchor", "hash").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "hash"),
+        "recurring",
     )
+    shards = -(-recurring.count() // SHARD_WINDOWS) or 1
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard")
+    count = lambda df, name: df.groupBy(shard).agg(F.count(F.lit(1)).alias(name))
     sizes = stage(
-        sizes.select(
+        count(recurring, "windows").join(count(stretches, "stretches"), "shard").select(
             "shard",
-            F.ceil(F.col("patterns") / SHARD_PATTERNS / 2).cast("int").alias("parts"),
+            F.ceil(F.col("windows") / SHARD_WINDOWS / 2).cast("int").alias("parts"),
             F.ceil(F.col("stretches") / SHARD_STRETCHES).cast("int").alias("salts"),
         ),
         "shards",
     )
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one_of = lambda n: F.pmod(F.xxhash64("stretch"), F.col(n)).cast("int")
-    nothing = {"key": F.lit(None).cast("binary"), "first": F.lit(None).cast("int")}
-    as_patterns = (
-        patterns.withColumn("shard", shard).join(sizes, "shard")
-        .withColumns({"part": one_of("parts"), **nothing}).withColumn("salt", every("salts"))
-    )
-    as_stretches = (
-        stretches.withColumn("shard", shard).join(sizes, "shard")
-        .withColumns({"salt": one_of("salts"), "at": F.lit(None).cast("array<int>")})
-        .withColumn("part", every("parts"))
-    )
-    columns = ["shard", "part", "salt", "key", "first", "words", "at"]
-    work = as_patterns.select(*columns).unionByName(as_stretches.select(*columns))
+    one_of = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    none = lambda kind: F.lit(None).cast(kind)
+    as_windows = recurring.select("*", shard).join(sizes, "shard").withColumns(
+        {"part": one_of("parts", "hash"), "key": none("binary"), "first": none("int"), "phrase": none("int"), "words": none("string")}
+    ).withColumn("salt", every("salts"))
+    as_stretches = stretches.select("*", shard).join(sizes, "shard").withColumns(
+        {"salt": one_of("salts", "key", "first"), "hash": none("long")}
+    ).withColumn("part", every("parts"))
+    columns = ["shard", "part", "salt", "anchor", "hash", "key", "first", "phrase", "words"]
     return (
-        work.repartition("shard", "part", "salt")
-        .sortWithinPartitions("shard", "part", "salt", F.col("at").isNull())
-        .mapInArrow(_locate(window), "key binary, from int, to int")
+        as_windows.select(*columns).unionByName(as_stretches.select(*columns))
+        .repartition("shard", "part", "salt").sortWithinPartitions("shard", "part", "salt")
+        .mapInArrow(_locate(window, phrase), "key binary, from int, to int")
     )
 
 
-def dedup_texts(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep_text: bool = True) -> DataFrame:
-    """Per distinct text its ``key``, ``n_words``, ``n_removed`` and what is kept.
+def dedup_texts(docs: DataFrame, window: int, phrase: int, changed_only: bool) -> DataFrame:
+    """Per distinct text its ``key``, ``n_words``, ``n_removed`` and the SHA-256 of what is kept.
 
-    What is kept, words joined by one blank, comes as ``kept``, or without
-    ``keep_text`` as its SHA-256, ``kept_sha256``.
+    With ``changed_only`` only the texts of which something is removed, and what is
+    kept of them itself, words joined by one blank, as ``kept``.
     """
     if not 0 < window - phrase < 32:
         raise ValueError("a phrase is shorter than the window, by 31 words at most")
     spark = docs.sparkSession
-    copies = (
-        docs.where(F.col("text").isNotNull())
-        .select(text_key(F.col("text")).alias("key"), "text")
-        .groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    )
-    texts, name = _bucketed(copies, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spans = repeated_windows(texts, window, phrase).groupBy("key").agg(
-        F.collect_list(F.struct("from", "to")).alias("spans")
-    )
-    joined = texts.join(stage(spans, "spans").hint("shuffle_hash"), "key", "left").select("key", "text", "spans")
-    done = joined.mapInArrow(_kept, "key binary, n_words long, n_removed long, kept string")
-    if not keep_text:
-        done = done.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
-    done = stage(done, "deduplicated")
-    spark.sql(f"DROP TABLE {name}")
+    with staged_tables(spark) as kept:
+        copies = (
+            docs.where(F.col("text").isNotNull())
+            .select(text_key(F.col("text")).alias("key"), "text")
+            .groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+        )
+        texts, name = _bucketed(copies, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        with staged_tables(spark) as kept_spans:
+            spans = kept_spans(
+                repeated_windows(texts, window, phrase).groupBy("key").agg(
+                    F.collect_list(F.struct("from", "to")).alias("spans")
+                ),
+                "spans",
+            )
+        joined = texts.join(spans.hint("shuffle_hash"), "key", "left").select("key", "text", "spans")
+        done = joined.mapInArrow(_kept, "key binary, n_words long, n_removed long, kept string")
+        if changed_only:
+            done = kept(done.where("n_removed > 0"), "changed")
+        else:
+            done = kept(done.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept"), "deduplicated")
+        spark.sql(f"DROP TABLE {name}")
     return done
 
 
@@ -330,7 +386,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFr
     whole. Shorter texts stay whole. An empty table gives no rows, other columns
     are not looked at.
     """
-    done = dedup_texts(docs, window, phrase, keep_text=False)
+    done = dedup_texts(docs, window, phrase, changed_only=False)
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"))
     nothing = F.sha2(F.lit(""), 256)
     return keyed.join(done, "key", "left").select(
@@ -346,6 +402,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
 
     A text of which nothing is removed stays as it is, line breaks included.
     """
-    done = dedup_texts(docs, window, phrase).where("n_removed > 0").select(F.col("key").alias("__key"), "kept")
-    changed = docs.join(done, text_key(docs["text"]) == F.col("__key"), "left")
-    return changed.select(*[F.coalesce("kept", docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    done = dedup_texts(docs, window, phrase, changed_only=True).select(F.col("key").alias("__key"), F.col("kept").alias("__kept"))
+    changed = docs.withColumn("__own", text_key(F.col("text"))).join(done, F.col("__own") == F.col("__key"), "left")
+    return changed.select(*[F.coalesce("__kept", "text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
