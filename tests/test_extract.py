@@ -214,3 +214,54 @@ def test_latest_snapshots_prune_partitions(spark, tmp_path):
     plan = final_plan(kept)
     assert "dynamicpruning" in plan and "BroadcastHashJoin" in plan
     assert [r["StudentID"] for r in records(kept)] == [6]
+
+
+def test_codes_compare_as_the_definition_compares_them(spark):
+    """Excluded schools by number, joins without trailing blanks, codes put out as they came, titles by the whole code."""
+    rows = enrolled(spark, {"StudentID": 1, "SchoolCode": "0516"}, {"StudentID": 2, "SchoolCode": "516 "},
+                    {"StudentID": 3, "SchoolCode": "5160"}, {"StudentID": 4, "SchoolCode": "S1 ", "DistrictCode": "D1 "})
+    assert [r["StudentID"] for r in records(extract.cohort_filter(rows, CFG))] == [3, 4]
+    long_code = "x" * 50
+    rows = enrolled(spark, {"SchoolCode": "S1 ", "DistrictCode": "D1 ", "RaceEDEN": long_code + "c", "SPEDCode": "2 "})
+    tables = sources(spark, rows, applied(spark, {}), race_code=[(long_code + "a", "A"), (long_code + "b", "B")])
+    (got,) = records(extract.build_extract(tables, CFG))
+    assert (got["SchoolCode"], got["SchoolName"], got["DistrictName"]) == ("S1 ", "One", "North")
+    assert got["RaceReportTitle"] == long_code + "c" and got["SpEdDefinition"] == "Learning"
+
+
+def test_types_of_the_source_are_filtered_on(spark, tmp_path):
+    """Two snapshots of one day are two; integer codes and snapshot times still prune and push down."""
+    from cohortspan.sources import load_sources
+    from cohortspan.staging import stage
+
+    times = [dt.datetime(2020, 6, 1, h) for h in (8, 12)]
+    rows = enrolled(spark, {"StudentID": 1, "SchoolCode": "7"}).drop("AsOf", "SchoolCode", "Grade")
+    frames = [rows.selectExpr("*", f"TIMESTAMP '{t}' AS AsOf", f"{code} AS SchoolCode", "12 AS Grade")
+              for t, code in ((times[0], 7), (times[1], 8), (times[1], 516))]
+    path = str(tmp_path / "enrollment")
+    frames[0].unionByName(frames[1]).unionByName(frames[2]).write.partitionBy("SchoolYear", "AsOf").parquet(path)
+    tables = sources(spark, None, applied(spark, {}), school=[(2020, "7", "Seven"), (2020, "8", "Eight")])
+    loaded = load_sources(spark, {**tables, "enrollment": {"format": "parquet", "path": path}})
+    assert [r["SchoolCode"] for r in records(extract.build_extract(loaded, CFG))] == ["8"]
+    cohort = extract.cohort_filter(loaded["enrollment"], CFG)
+    plan = final_plan(extract.snapshot_rows(cohort, stage(extract.latest_snapshot(loaded["enrollment"]), "latest")))
+    assert "dynamicpruning" in plan and "EqualTo(Grade,12)" in plan and "SchoolCode" in plan.split("PushedFilters")[1]
+
+
+def test_code_tables_of_unknown_size_are_broadcast(spark):
+    """Frames without statistics count as huge; staged they do not have students shuffled on their codes."""
+    unknown = lambda df: df.sparkSession.createDataFrame(df.rdd, df.schema)
+    tables = sources(spark, enrolled(spark, {"RaceEDEN": "1", "SPEDCode": "2"}), applied(spark, {}))
+    tables = {role: unknown(frame) for role, frame in tables.items()}
+    plan = final_plan(extract.build_extract(tables, CFG))
+    assert plan.count("BroadcastHashJoin") >= 4
+    for code in ("RaceReportCode", "SPEDCode", "SchoolCode", "DistrictCode"):
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and code in x and "StudentID" not in x]
+
+
+def test_lookup_report_counts_repeated_codes(spark):
+    from cohortspan.operators.quality import lookup_reports
+
+    tables = sources(spark, None, None, race_code=[("1", "a"), ("1 ", "b"), ("2", "c")])
+    got = {r["code_table"]: (r["codes"], r["repeated"]) for r in records(lookup_reports(tables))}
+    assert got == {"school": (2, 0), "district": (2, 0), "race_code": (2, 1), "sped_code": (1, 0)}

@@ -100,7 +100,35 @@ def test_staged_frame_has_a_known_size(spark):
     assert 0 < size < 100_000
 
 
-def test_shared_folder_comes_from_the_session(spark):
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = staging.shared_dir(spark)
-    assert folder == configured.rstrip("/") if configured else folder == staging.shared_dir(spark)
+def session(master, folder=None):
+    from types import SimpleNamespace
+
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: folder or default),
+        sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"),
+    )
+
+
+def test_shared_folder_comes_from_the_session():
+    assert staging.shared_dir(session("yarn", "hdfs://shared/")) == "hdfs://shared"
+    own = staging.shared_dir(session("local[8]"))
+    assert own == staging.shared_dir(session("local[8]")) != staging.shared_dir(session("local[4]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_dir(session("spark://host:7077"))
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    with staging.staged_tables(spark) as kept:
+        inner = staging.stage(spark.range(5), "inner")
+        result = kept(inner.selectExpr("id + 1 AS id"), "result")
+        (inside,) = {f.rsplit("/", 1)[0] for f in inner.inputFiles()}
+    assert not glob.glob(inside.removeprefix("file://"))
+    assert result.count() == 5
+
+
+def test_csv_files_must_agree_on_their_header(spark, tmp_path):
+    names = list(EXTRACT_SCHEMA)
+    (tmp_path / "a.csv").write_text(",".join(names) + "\n" + ",".join(["NA"] * len(names)) + "\n")
+    (tmp_path / "b.csv").write_text(",".join(names[::-1]) + "\n" + ",".join(["NA"] * len(names)) + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_extract(spark, str(tmp_path)).collect()
