@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from cohortspan.llm.texts import kept_in_worker, slices
 from cohortspan.llm.tokenfiles import byte_characters
 
-FRAGMENTS_KEPT = 500_000  # encoded fragments remembered in a worker
+FRAGMENTS_KEPT = 200_000  # encoded fragments remembered in a worker
 SPACE, LETTER, DIGIT, MARK = range(4)
 # Below this code point texts are composed already and lower-case one by one, but for U+0130.
 PLAIN_BELOW = 0x300
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ("doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(tokenizer_path)
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=2 << 20):
             ids = bpe.encode(batch.column(batch.num_columns - 1))
             columns = [*batch.columns[:-1], ids, *([bpe.decode(ids)] if decoded else [])]
             yield pa.RecordBatch.from_arrays(columns, names)

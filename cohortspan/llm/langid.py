@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspan.llm.texts import Remembered, slices
-from cohortspan.staging import stage
+from cohortspan.staging import stage, staged_tables
 
 MOST_WORDS = 20_000
 MOST_GRAMS = 10_000
 LONGEST = 4
 UNKNOWN = "und"
-WORDS_KEPT = 300_000  # scored words remembered in a task
+WORDS_KEPT = 100_000  # scored words remembered in a task
 
 
 def words_of(texts: pa.Array) -> pa.ListArray:
@@ -69,13 +69,11 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int], Counter] = {}
-        held = 0
         for batch in batches:
             for lang, word in zip(batch.column("lang").to_pylist(), batch.column("entry").to_pylist()):
                 for n in range(1, LONGEST + 1):
                     counts.setdefault((lang, n), Counter()).update(grams(word, n))
-            held = sum(map(len, counts.values()))
-            if held > 1_000_000:
+            if sum(map(len, counts.values())) > 1_000_000:
                 yield from _counted(counts)
                 counts = {}
         yield from _counted(counts)
@@ -86,11 +84,12 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 def _counted(counts: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
     for (lang, n), found in counts.items():
-        size = len(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * size), pa.array([n] * size, pa.int32()), pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())],
-            ["lang", "n", "entry", "count"],
-        )
+        if found:
+            columns = [[lang] * len(found), [n] * len(found), list(found.keys()), list(found.values())]
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values, kind) for values, kind in zip(columns, kinds)], ["lang", "n", "entry", "count"]
+            )
 
 
 def most_frequent(counts: DataFrame, by: list[str], most: Column) -> DataFrame:
@@ -142,12 +141,13 @@ class Scorer:
 
 def fit(labelled: DataFrame) -> Scorer:
     """A scorer learned from ``text`` and ``lang`` of all given rows."""
-    words = stage(word_counts(labelled), "words")
-    ngrams = stage(gram_counts(words), "grams")
-    known = most_frequent(words, ["lang"], F.lit(MOST_WORDS)).withColumn("n", F.lit(0))
-    parts = most_frequent(ngrams, ["lang", "n"], F.lit(MOST_GRAMS))
     columns = ["n", "lang", "entry", "count", "all_count", "all_entries"]
-    return Scorer(known.select(*columns).unionByName(parts.select(*columns)).toArrow())
+    with staged_tables(labelled.sparkSession):
+        words = stage(word_counts(labelled), "words")
+        ngrams = stage(gram_counts(words), "grams")
+        known = most_frequent(words, ["lang"], F.lit(MOST_WORDS)).withColumn("n", F.lit(0))
+        parts = most_frequent(ngrams, ["lang", "n"], F.lit(MOST_GRAMS))
+        return Scorer(known.select(*columns).unionByName(parts.select(*columns)).toArrow())
 
 
 def predict(docs: DataFrame, scorer: Scorer, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspan.llm.prefix import running_totals
+from cohortspan.llm.rows import ROW_KEY, pick_rows, with_row_key
 from cohortspan.llm.texts import BREAKS, count_words
-from cohortspan.staging import stage
+from cohortspan.staging import stage, staged_tables
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -162,13 +163,14 @@ def mix(
     gives no rows. Reruns agree: every choice follows from doc_id, size and seed.
     """
     sized = stage(
-        docs.select("doc_id", "source", *carry, count_words(F.col("text")).alias("size"))
-        .withColumn("key", source_key(F.col("source"))),
+        docs.select(
+            "doc_id", *carry, F.col("source").alias("__source"), count_words(F.col("text")).alias("size")
+        ).withColumn("key", source_key(F.col("__source"))),
         "sized",
     )
     sources = stage(
         sized.groupBy("key").agg(
-            F.min("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")
+            F.min("__source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")
         ),
         "sources",
     )
@@ -229,20 +231,21 @@ def mixed_documents(docs: DataFrame, **settings: object) -> DataFrame:
     and each range taken of it beside comes as a row with that part of the text.
     Documents of which nothing is taken go, and those without words.
     """
-    numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    taken = stage(
-        mix(numbered, carry=("__row",), **settings).where("taken > 0")
-        .select("__row", "passes", "from_1", "to_1", "from_2", "to_2"),
-        "taken",
-    )
+    pieces = ("passes", "from_1", "to_1", "from_2", "to_2")
+    with staged_tables(docs.sparkSession) as kept:
+        taken = mix(with_row_key(docs), carry=ROW_KEY, **settings).groupBy(*ROW_KEY).agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.collect_list(F.when(F.col("taken") > 0, F.struct(*pieces))).alias("__pieces"),
+        )
+        chosen = kept(taken.where(F.size("__pieces") > 0), "taken")
     words = F.regexp_extract_all(F.col("text"), F.lit(f"([^{BREAKS}]+[{BREAKS}]*)"), F.lit(1))
-    part = lambda a, b: F.array_join(F.slice(words, F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int")), "")
-    copies = F.concat(
-        F.array_repeat(F.col("text"), F.col("passes").cast("int")),
+    part = lambda a, b: F.array_join(F.slice(words, a.cast("int") + 1, (b - a).cast("int")), "")
+    copies = F.transform("__pieces", lambda p: F.concat(
+        F.array_repeat(F.col("text"), p["passes"].cast("int")),
         *[
-            F.when(F.col(b) > F.col(a), F.array(part(a, b))).otherwise(F.array().cast("array<string>"))
+            F.when(p[b] > p[a], F.array(part(p[a], p[b]))).otherwise(F.array().cast("array<string>"))
             for a, b in (("from_1", "to_1"), ("from_2", "to_2"))
         ],
-    )
-    rows = numbered.join(taken, "__row").withColumn("__copy", F.explode(copies))
+    ))
+    rows = pick_rows(docs, chosen).withColumn("__copy", F.explode(F.flatten(copies)))
     return rows.select(*[F.col("__copy").alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from cohortspan.llm.cells import by_cell, cell_groups, pairs_of
 from cohortspan.llm.components import components, star
+from cohortspan.llm.rows import ROW_KEY, pick_rows, with_row_key
 from cohortspan.llm.texts import as_bytes, slices
-from cohortspan.staging import stage
+from cohortspan.staging import stage, staged_tables
 
 SHINGLE_WORDS = 3
 MOST_BITS = 3
@@ -190,10 +191,10 @@ def keep_one(docs: DataFrame, words_each: int = SHINGLE_WORDS, most_bits: int =
     It is a row with the component's smallest doc_id, a NULL id coming last. All
     columns are returned as they came.
     """
-    numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered, words_each, most_bits, carry=("__row",))
-    first = found.groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))).alias("first")
-    )
-    kept = stage(first.select(F.col("first.__row").alias("__row")), "kept")
-    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
+    with staged_tables(docs.sparkSession) as kept:
+        found = near_duplicates(with_row_key(docs), words_each, most_bits, carry=tuple(ROW_KEY))
+        rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *ROW_KEY)
+        alike = found.groupBy("root", "doc_id", *ROW_KEY).agg(F.count(F.lit(1)).alias("rows"))
+        first = alike.groupBy("root").agg(F.min_by(F.struct(*ROW_KEY, "rows"), rank).alias("first"))
+        chosen = kept(first.select("first.*"), "chosen")
+    return pick_rows(docs, chosen).select(*docs.columns)
