@@ -222,6 +222,48 @@ def test_odd_texts_and_nothing_learned(spark):
     assert kept.columns == odd_docs(spark).columns and 3 not in {r["doc_id"] for r in kept.collect()}
 
 
+@pytest.mark.parametrize("most", [0, 3, 10_000])
+def test_languages_follow_from_all_counts(spark, monkeypatch, most):
+    """Every learned word and n-gram counts, whatever the size of the head."""
+    monkeypatch.setattr(langid, "MOST_WORDS", most)
+    monkeypatch.setattr(langid, "MOST_GRAMS", most)
+    pick = random.Random(5)
+    say = lambda letters, n: " ".join("".join(pick.choices(letters, k=pick.randint(1, 6))) for _ in range(n))
+    learned = [("en", say("abcdef", 300)), ("de", say("cdefgh", 120) + " der" * 40), ("fr", "a b b")]
+    asked = [say("abcdefgh", n) for n in (1, 2, 3, 5, 8, 13)] + ["der " + say("gh", 2), "я", "яa", "12", ""]
+    counts = {(0, lang): Counter(text.split()) for lang, text in learned}
+    for (_, lang), found in list(counts.items()):
+        for n in range(1, 5):
+            counts[n, lang] = Counter(g for w in found for g in langid.grams(w, n))
+
+    def score(lang, n, entry):
+        own = counts[n, lang]
+        return math.log((own[entry] + 0.5) / (own.total() + 0.5 * len(own))) if own else 0.0
+
+    langs = sorted(lang for lang, _ in learned)
+    known = lambda n, entry: any(counts[n, lang][entry] for lang in langs)
+
+    def word(w):
+        if known(0, w):
+            return [score(lang, 0, w) for lang in langs]
+        for n in range(4, 0, -1):
+            if found := [g for g in langid.grams(w, n) if known(n, g)]:
+                return [sum(score(lang, n, g) for g in found) / len(found) for lang in langs]
+        return [0.0] * len(langs)
+
+    rows = [(k, text, lang, None, None) for k, (lang, text) in enumerate(learned)]
+    scorer = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    docs = spark.createDataFrame([(k, text, None, None, None) for k, text in enumerate(asked)], SCHEMA)
+    got = {r["doc_id"]: r for r in langid.predict(docs, scorer).collect()}
+    assert len(got) == len(asked)
+    for k, text in enumerate(asked):
+        sums = [sum(x) for x in zip(*[word(w) for w in text.split()])] if text not in ("", "12") else None
+        want = (langs[sums.index(max(sums))], 1 / sum(math.exp(x - max(sums)) for x in sums)) if sums else ("und", 0.0)
+        assert got[k]["score"] == pytest.approx(want[1]), text
+        if sums is None or sorted(sums)[-1] - sorted(sums)[-2] > 1e-9:
+            assert got[k]["lang_pred"] == want[0], text
+
+
 def test_most_frequent_cuts_above_ties(spark):
     rows = [("a", w, n) for w, n in (("p", 9), ("q", 5), ("r", 5), ("s", 1))] + [("b", "p", 1)]
     counts = spark.createDataFrame(rows, "lang string, entry string, count long")
