@@ -320,6 +320,59 @@ def test_scores_and_base(spark):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_discounted_words_score_alike_in_and_beyond_the_head(spark, monkeypatch):
+    """By brute force: a word of a class has its count less the discount, a word never seen what that leaves."""
+    import numpy as np
+
+    fitted = []
+    fit_model = logbilinear.fit_model
+    monkeypatch.setattr(logbilinear, "fit_model", lambda *args: fitted.append(fit_model(*args)) or fitted[-1])
+    monkeypatch.setattr(logbilinear, "VOCABULARY", 2)
+    monkeypatch.setattr(logbilinear, "STEPS", 5)
+    long_word = "x" * 70
+    learned = ["aa aa aa bb bb bb cc cc once", f"dd, ee, ee, 12 12 7 é {long_word}", None]
+    asked = ["aa once cc", f"dd, new, é {long_word}", "12 99 new", "ö", ""]
+    rows = [(k, text, k >= len(learned)) for k, text in enumerate([*learned, *asked])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    counts = Counter(w for text in learned for w in words(text))
+    vocabulary = ["aa", "bb"]
+    shape = lambda w: (2 * (w[-1] == ",") + (not w.isascii())) if any(c.isalpha() for c in w) else 4
+    mass, types = Counter(), Counter()
+    for w, n in counts.items():
+        if w not in vocabulary:
+            mass[shape(w)] += n
+            types[shape(w)] += 1
+
+    def token(w):
+        return vocabulary.index(w) if w in vocabulary else 2 + shape(w)
+
+    def inner(w):
+        if w in vocabulary:
+            return 1.0
+        k = shape(w)
+        if not mass[k]:
+            return 1.0
+        return (counts[w] - 0.75 if counts[w] else 0.75 * types[k]) / mass[k]
+
+    scores = []
+    for size in (0, 200_000):
+        monkeypatch.setattr(logbilinear, "HEAD", size)
+        got = {r["doc_id"]: r["score"] for r in logbilinear.score(docs).collect()}
+        table, end, base = fitted[-1].log_table(), 7, 9
+        for doc_id, text, _ in rows:
+            before, last, total = end + 1, end + 1, 0.0
+            for w in [*words(text), None]:
+                now = end if w is None else token(w)
+                total += table[before * base + last, now] + (0 if w is None else math.log10(inner(w)))
+                before, last = last, now
+            assert got[doc_id] == pytest.approx(total), (size, text)
+        scores.append([got[k] for k in range(len(rows))])
+    assert np.allclose(*scores)
+    for k in mass:
+        seen = sum(inner(w) for w in counts if w not in vocabulary and shape(w) == k)
+        assert seen + 0.75 * types[k] / mass[k] == pytest.approx(1)
+
+
 def test_model_is_a_distribution_and_learns():
     import numpy as np
 
