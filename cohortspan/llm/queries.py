@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import caps, chat, forced_bpe, langid, ledger, logbilinear, mixing, simhash, substrings, tokenfiles
+from cohortspan.llm import (
+    caps, chat, forced_bpe, interactions, langid, ledger, linededup, logbilinear, mixing, resampling, simhash, substrings,
+    tokenfiles,
+)
 from cohortspan.llm.texts import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +209,147 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("root")
+
+
+@query
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
+ORACLES["op11_lines"] = """
+WITH texts AS (
+    SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), keyed AS (
+    SELECT row_no, doc_id, i, lines[i] AS line,
+           trim(translate(lines[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+    FROM texts, generate_series(1, len(lines)) g(i)
+), common AS (
+    SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20
+    GROUP BY key HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INTEGER) >= 3
+), judged AS (
+    SELECT row_no, keyed.doc_id, i, line, keeper IS NOT NULL AND keyed.doc_id IS DISTINCT FROM keeper AS gone
+    FROM keyed LEFT JOIN common USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY row_no, doc_id
+"""
+
+
+@query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.resample(documents(spark, sf_dir), target).drop("n_words")
+
+
+ORACLES["op12_resampling"] = r"""
+WITH RECURSIVE crc_step(n, value, bit) AS (
+    SELECT n, n::BIGINT, 0 FROM generate_series(0, 255) g(n)
+    UNION ALL
+    SELECT n, xor(value >> 1, CASE WHEN value % 2 = 1 THEN 3988292384 ELSE 0 END), bit + 1 FROM crc_step WHERE bit < 8
+), crc_table AS (
+    SELECT list(value ORDER BY n) AS crcs FROM crc_step WHERE bit = 8
+), read AS (
+    SELECT 'd' AS side, row_number() OVER () AS row_no, doc_id, text FROM documents
+    UNION ALL
+    SELECT 'b', row_number() OVER (), NULL, text FROM benchmark
+), texts AS (
+    SELECT side, row_no, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM read
+), features AS (
+    SELECT side, row_no, array_to_string(words[i:i + n - 1], ' ') AS feature, count(*) AS times
+    FROM texts, generate_series(1, 3) s(n), generate_series(1, len(words) - n + 1) g(i)
+    GROUP BY ALL
+), named AS (
+    SELECT DISTINCT feature, regexp_extract_all(hex(encode(feature)), '..') AS pairs FROM features
+), bucketed AS (
+    SELECT feature, xor(list_reduce(
+               list_transform(pairs, lambda h: ('0x' || h)::BIGINT),
+               lambda crc, byte: xor(crc >> 8, crcs[(xor(crc, byte) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+    FROM named, crc_table
+), counted AS (
+    SELECT bucket, coalesce(sum(times) FILTER (side = 'd'), 0) AS s, coalesce(sum(times) FILTER (side = 'b'), 0) AS t
+    FROM features JOIN bucketed USING (feature) GROUP BY bucket
+), gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000))))::BIGINT AS gain
+    FROM counted
+), weights AS (
+    SELECT row_no, sum(times)::BIGINT AS n_features, sum(times * gain)::BIGINT AS weight
+    FROM features JOIN bucketed USING (feature) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row_no
+), scored AS (
+    SELECT row_no, doc_id, len(words) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln(
+               (('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM texts LEFT JOIN weights USING (row_no) WHERE side = 'd'
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+           count(*) FILTER (able) OVER () AS n
+    FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@query
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLES["op13_interactions"] = r"""
+WITH measured AS (
+    SELECT row_number() OVER () AS row_no, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), marks AS (
+    SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id
+), judged AS (
+    SELECT row_no, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {
+        'A': len(words) < 200,
+        'B': 100 * len(list_distinct(words)) < 50 * len(words),
+        'C': 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t),
+        'D': regexp_matches(t, '[#$%&*|]'),
+        'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)
+    } AS fails
+    FROM measured LEFT JOIN marks USING (doc_id)
+), failed AS (
+    SELECT row_no, part, good, toxic, letter,
+           CASE letter WHEN 'A' THEN fails.A WHEN 'B' THEN fails.B WHEN 'C' THEN fails.C WHEN 'D' THEN fails.D ELSE fails.E END
+               AS fail,
+           fails.A::INTEGER + fails.B::INTEGER + fails.C::INTEGER + fails.D::INTEGER + fails.E::INTEGER AS n_fails
+    FROM judged, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) l(letter)
+), orders AS (
+    SELECT a || b || c || d || e AS filter_order
+    FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(a), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) w(b),
+         (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) x(c), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) y(d),
+         (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) z(e)
+    WHERE len(list_distinct([a, b, c, d, e])) = 5
+), steps AS (
+    SELECT filter_order, i::INTEGER AS step, substr(filter_order, i, 1) AS letter FROM orders, generate_series(1, 5) g(i)
+), met AS (
+    SELECT part, filter_order, step, letter, good, toxic, n_fails,
+           step = min(step) OVER (PARTITION BY row_no, filter_order) AS first
+    FROM failed JOIN steps USING (letter) WHERE fail
+), counted AS (
+    SELECT part, filter_order, step, count(*) FILTER (first) AS removed, count(*) FILTER (NOT first) AS redundant,
+           count(*) FILTER (n_fails = 1) AS unique_fails,
+           sum(good) FILTER (first) AS good_lost, sum(toxic) FILTER (first) AS toxic_lost
+    FROM met GROUP BY ALL
+), parts AS (
+    SELECT part, count(*) AS total FROM measured GROUP BY part
+), whole AS (
+    SELECT part, filter_order, step, letter, total, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant,
+           coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost
+    FROM parts CROSS JOIN steps LEFT JOIN counted USING (part, filter_order, step)
+)
+SELECT part, filter_order, step,
+       (total - sum(removed) OVER (PARTITION BY part, filter_order ORDER BY step))::BIGINT AS kept,
+       removed, redundant, unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM whole
+"""

@@ -1,0 +1,249 @@
+"""Line dedup, importance resampling and the filter audit against brute force."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
+from itertools import combinations, permutations
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from cohortspan.llm import interactions, linededup, ngrams, resampling
+from cohortspan.llm.queries import QUERIES
+from tests.llm.cases import CLASHING, LOWER, SCHEMA, no_docs, odd_docs, odd_rows, phrase, table, words
+
+SF_DIR = "/root/testdata/sf0.001"
+MORE_CLASHES = (
+    "line", "lines", "position", "hash_1", "row_1", "row_2", "doc", "dropped", "keeper", "own", "documents", "first", "fails",
+    "n_lines", "n_dropped", "text_1", "is_copy", "good", "toxic", "n", "weight", "bucket", "n_features", "__range", "rows", "__key",
+)
+
+
+def clashing(docs):
+    return docs.withColumns({c: F.lit("clash") for c in (*CLASHING, *MORE_CLASHES)})
+
+
+# -- line dedup -----------------------------------------------------------------
+
+def plain_lines(rows, least_chars=20, least_documents=3):
+    key = lambda line: line.translate(LOWER).strip(" \t\n\x0b\x0c\r")
+    holders = defaultdict(set)
+    for doc, text, *_ in rows:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= least_chars:
+                holders[key(line)].add(doc)
+    common = {k: max(d for d in ids if d is not None) for k, ids in holders.items() if len(ids) >= least_documents}
+    out = []
+    for doc, text, *_ in rows:
+        lines = (text or "").split("\n")
+        kept = [line for line in lines if common.get(key(line), doc) == doc]
+        out.append((doc, len(lines), len(lines) - len(kept), text if len(kept) == len(lines) else "\n".join(kept)))
+    return out
+
+
+def shared_lines():
+    pick = random.Random(5)
+    stock = [phrase(k, 6) for k in range(8)] + ["Short line", "é" * 20, "x" * 19, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    rows = odd_rows()
+    for k in range(60):
+        lines = [pick.choice([phrase(900 + k, 8), *stock]) for _ in range(pick.randrange(0, 12))]
+        lines = [pick.choice(["", " ", "\t\x0b"]) + (x.upper() if pick.random() < 0.3 else x) + pick.choice(["", "\r", "  "]) for x in lines]
+        rows.append((200 + k // 2, "\n".join(lines), "en", "a", None))
+    rows += [(None, stock[0], "en", "a", None), (None, stock[0] + "\n" + stock[1], "en", "b", None)]
+    rows += [(300, "\n".join([stock[2]] * 400), "en", "a", None)] * 2
+    rows += [(7 * k, "the hot line of all documents", "en", "a", None) for k in range(100, 160)]
+    return rows
+
+
+def test_common_lines_go(spark):
+    rows = shared_lines()
+    docs = clashing(spark.createDataFrame(rows, SCHEMA)).repartition(5)
+    out = linededup.dedup(docs)
+    assert out.columns == [c for c in docs.columns if c not in linededup.COUNTS] + list(linededup.COUNTS)
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"], r["key"]) for r in out.collect())
+    want = plain_lines(rows)
+    assert sum(r[2] for r in want) > 300
+    assert got == Counter((*r, "clash") for r in want)
+
+
+def test_line_thresholds_are_parameters(spark):
+    rows = shared_lines()
+    got = linededup.dedup(spark.createDataFrame(rows, SCHEMA), 5, 2).select("doc_id", "n_lines", "n_dropped", "text")
+    assert Counter(map(tuple, got.collect())) == Counter(plain_lines(rows, 5, 2))
+    with pytest.raises(ValueError):
+        linededup.dedup(no_docs(spark), 0)
+
+
+def test_shuffled_joins_give_the_same_lines(spark, settings):
+    settings(**{"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    rows = shared_lines()
+    got = linededup.dedup(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_lines", "n_dropped", "text")
+    assert Counter(map(tuple, got.collect())) == Counter(plain_lines(rows))
+
+
+def test_no_lines(spark):
+    assert linededup.dedup(no_docs(spark)).count() == 0
+
+
+# -- importance resampling --------------------------------------------------------
+
+def feature_words(text):
+    folded = (text or "").translate(LOWER)
+    return "".join(c if c > "\x7f" or c.isdigit() or c.isalpha() else " " for c in folded).split(" ")
+
+
+def features(text):
+    own = [w for w in feature_words(text) if w]
+    return len(own), [" ".join(own[i:i + n]) for n in (1, 2, 3) for i in range(len(own) - n + 1)]
+
+
+def plain_draw(rows, target, share=5, least=20):
+    bucket = lambda x: zlib.crc32(x.encode()) % 10000
+    found = [features(r[1]) for r in rows]
+    s, t = (Counter(bucket(x) for _, fs in texts for x in fs) for texts in (found, [features(x) for x in target]))
+    n, m = sum(s.values()), sum(t.values())
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (n + 10000) / ((s[b] + 1) * (m + 10000)))) for b in range(10000)}
+    out = []
+    for (doc, *_), (n_words, fs) in zip(rows, found):
+        weight = sum(gain[bucket(x)] for x in fs)
+        h = int(hashlib.sha256(f"42:{'' if doc is None else doc}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out.append([doc, len(fs), weight, score, None, n_words])
+    able = sorted((r for r in out if r[5] >= least), key=lambda r: (-r[3], r[0] is None, r[0], r[1], r[2]))
+    for rank, r in enumerate(able[: share * len(able) // 100], 1):
+        r[4] = rank
+    return [tuple(r[:5]) for r in out]
+
+
+def test_resampling_query_matches_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in table("documents")]
+    target = [r["text"] for r in table("benchmark")]
+    got = [tuple(r) for r in QUERIES["op12_resampling"](spark, SF_DIR).select("doc_id", "n_features", "weight", "score", "rank").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, plain_draw(docs, target)))
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_resampling_of_odd_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(ngrams, "BLOCK_WORDS", block)
+    monkeypatch.setattr(ngrams, "LONG", 20)
+    rows = odd_rows() + [(50 + k, phrase(k, 30), "en", "a", None) for k in range(80)]
+    rows = [r if r[0] != 6 and r[0] != 7 else (*r[:1], r[1][:9000], *r[2:]) for r in rows]
+    rows.append((49, "long" * 3000 + " " + "long" * 3000 + " x " + "long" * 3000, "en", "a", None))
+    target = [phrase(k, 30) for k in range(10)] + [None, ""]
+    frame = spark.createDataFrame([(x, 1) for x in target], "text string, item_id int")
+    got = resampling.resample(clashing(spark.createDataFrame(rows, SCHEMA)), frame, share=20)
+    got = [tuple(r) for r in got.drop("n_words").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, plain_draw(rows, target, 20)))
+
+
+def test_resampling_of_nothing(spark):
+    nothing = no_docs(spark)
+    assert resampling.resample(nothing, nothing).count() == 0
+    got = resampling.resample(odd_docs(spark), nothing).collect()
+    assert len(got) == len(odd_rows()) and all(r["rank"] is None for r in got if r["n_words"] < 20)
+
+
+def test_hashes_and_checksums_are_the_known_ones():
+    pick = random.Random(1)
+    data = bytes(pick.randrange(256) for _ in range(6000))
+    buffer = np.frombuffer(data + bytes(8), np.uint8)
+    lengths = np.array([n for n in range(1, 140) for _ in range(7)])
+    starts = np.array([pick.randrange(0, len(data) - n + 1) for n in lengths])
+    for seed in (0, 42):
+        want = [xxhash.xxh64_intdigest(data[s:s + n], seed) for s, n in zip(starts, lengths)]
+        assert ngrams.hashes(buffer, ngrams.eights(buffer), starts, lengths, seed).tolist() == want
+    assert ngrams.checksums(buffer, starts, lengths).tolist() == [zlib.crc32(data[s:s + n]) for s, n in zip(starts, lengths)]
+
+
+def test_equal_hashes_do_not_join_ngrams(monkeypatch):
+    monkeypatch.setattr(ngrams, "hashes", lambda buffer, lanes, starts, lengths: np.full(len(starts), 5, np.uint64))
+    texts = [phrase(k, 25, 12).encode() for k in range(4)] + [b"a" * 300 + b" b " + b"a" * 299 + b"c " + b"a" * 300]
+    (block,) = ngrams.blocks(ngrams.words_of(texts), 3)
+    slots = ngrams.interned(block, 3)
+    whole = block.buffer.tobytes()
+    grams = [whole[s:s + n] for s, n in zip(slots.starts.tolist(), slots.lengths.tolist())]
+    assert len(set(zip(grams, slots.slot.tolist()))) == len(set(grams)) == len(set(slots.slot.tolist()))
+    counts = Counter(grams)
+    assert all(slots.count[slot] == counts[gram] for gram, slot in zip(grams, slots.slot.tolist()))
+
+
+# -- filter audit -------------------------------------------------------------------
+
+def plain_audit(rows, labels):
+    firsts = defaultdict(list)
+    for doc, text, *_ in rows:
+        if doc is not None:
+            firsts[text or ""].append(doc)
+    good, toxic = ({r[0] for r in labels if r[k] == 1 and r[0] is not None} for k in (1, 2))
+    parts = defaultdict(list)
+    for doc, text, _, source, *_ in rows:
+        text = text or ""
+        own = words(text)
+        fails = {
+            "A": len(own) < 200, "B": 100 * len(set(own)) < 50 * len(own),
+            "C": 100 * sum("A" <= c <= "Z" for c in text) > 2 * len(text), "D": any(c in "#$%&*|" for c in text),
+            "E": doc is not None and doc > min(firsts[text]),
+        }
+        parts[source or ""].append((doc, {k for k, v in fails.items() if v}))
+    out = set()
+    for part, docs in parts.items():
+        removed = {}
+        for order in permutations("ABCDE"):
+            left = docs
+            for step, letter in enumerate(order):
+                gone = [d for d in left if letter in d[1]]
+                left = [d for d in left if letter not in d[1]]
+                removed["".join(order), step] = (len(left), gone)
+        for order in map("".join, permutations("ABCDE")):
+            for step, letter in enumerate(order):
+                kept, gone = removed[order, step]
+                out.add((
+                    part, order, step + 1, kept, len(gone), sum(letter in d[1] for d in docs) - len(gone),
+                    sum(d[1] == {letter} for d in docs), sum(d[0] in good for d in gone), sum(d[0] in toxic for d in gone),
+                    sum(len(removed[o, o.index(letter)][1]) for o in map("".join, permutations("ABCDE"))),
+                ))
+    return out
+
+
+def test_audit_matches_counting(spark):
+    pick = random.Random(8)
+    rows = odd_rows()
+    for k in range(120):
+        text = phrase(pick.randrange(40), pick.choice([5, 150, 250, 400]), pick.choice([20, 90, 5000]))
+        text = text.upper() if pick.random() < 0.2 else text + pick.choice(["", "", " #", " a|b", "\n&"])
+        rows.append((pick.choice([None, 20 + k, 20 + k // 3]), text, "en", pick.choice(["hot", "hot", "b", None, ""]), None))
+    labels = [(pick.choice([None, k]), pick.choice([0, 1, None]), pick.choice([0, 1, None])) for k in range(0, 140) for _ in range(pick.randrange(3))]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumns({"part": F.lit("z"), "good": F.lit(1), "n_words": F.lit(2)})
+    got = {tuple(r) for r in interactions.audit(clashing(spark.createDataFrame(rows, SCHEMA)).drop("n_words"), frame).collect()}
+    want = plain_audit(rows, labels)
+    assert len(want) == 600 * len({r[3] or "" for r in rows})
+    assert got == want
+
+
+def test_least_squares_give_shapley_values():
+    pick = random.Random(2)
+    for k in (1, 2, 4, 5, 6):
+        worth = [0] + [pick.randrange(1000) for _ in range((1 << k) - 1)]
+        for i, value in enumerate(interactions.shapley_values(worth, k)):
+            others = [j for j in range(k) if j != i]
+            want = Fraction(0)
+            for n in range(k):
+                for members in combinations(others, n):
+                    s = sum(1 << j for j in members)
+                    want += Fraction(math.factorial(n) * math.factorial(k - n - 1), math.factorial(k)) * (worth[s | 1 << i] - worth[s])
+            assert value == want
+
+
+def test_audit_of_own_filters_and_of_nothing(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert interactions.audit(no_docs(spark), labels).count() == 0
+    docs = spark.createDataFrame(odd_rows(), SCHEMA)
+    got = interactions.audit(docs, labels, {"w": "n_words < 10", "c": "is_copy"}).collect()
+    assert {r["filter_order"] for r in got} == {"wc", "cw"}
+    with pytest.raises(ValueError):
+        interactions.audit(docs, labels, dict.fromkeys("ABCDEFGH", "is_copy"))
