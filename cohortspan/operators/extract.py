@@ -201,11 +201,13 @@ def build_extract(
     school_year: int | None = None,
     school_name: str | None = None,
     as_of: dt.date | None = None,
+    snapshots: DataFrame | None = None,
 ) -> DataFrame:
     """The whole extract, one row per school year, student and school.
 
-    The list of latest snapshots (a pass over two columns) and the four code tables
-    are staged first, so that Spark knows they are small when it plans the main
+    ``snapshots`` lists the latest snapshots if they are known already, as
+    ``sources.latest_snapshots`` tells them from folders and footers; else they take a pass
+    over two columns. That list and the four code tables are staged first, so that Spark knows they are small when it plans the main
     job: of unknown size, each would have all students shuffled on its few codes.
     Give ``lookup_reports`` a look first if the code tables are not known to be
     clean, as a repeated code multiplies students.
@@ -213,7 +215,10 @@ def build_extract(
     codes = {name: stage(sources[name], name) for name in ("school", "district", "race_code", "sped_code")}
     enrollment = optional_eq(sources["enrollment"], "SchoolYear", school_year)
     isir = optional_eq(sources["isir"], "ISIRYear", school_year)
-    latest = stage(latest_snapshot(enrollment), "latest_snapshot")
+    if snapshots is None:
+        latest = stage(latest_snapshot(enrollment), "latest_snapshot")
+    else:
+        latest = optional_eq(snapshots, "SchoolYear", school_year)
 
     cohort = snapshot_rows(cohort_filter(enrollment, cfg), latest)
     named = cohort_columns(add_names(cohort, codes["school"], codes["district"]))

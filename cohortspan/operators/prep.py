@@ -69,11 +69,12 @@ def recode_rows(rows: DataFrame, cfg: CohortConfig) -> DataFrame:
     )
 
 
-def prepare(extract: DataFrame, cfg: CohortConfig) -> DataFrame:
+def prepare(extract: DataFrame, cfg: CohortConfig, roster: DataFrame | None = None) -> DataFrame:
     """Current schools only, relabelled, from the first wanted year on, recoded.
 
-    ``extract`` is read three times (latest year, roster, rows): pass a table,
+    Without a ``roster``, ``extract`` is read three times (latest year, roster, rows): pass a table,
     a file or a staged frame. The roster is staged so that its size is known.
     """
-    roster = stage(school_roster(extract), "roster")
+    if roster is None:
+        roster = stage(school_roster(extract), "roster")
     return recode_rows(year_floor(restrict_relabel(extract, roster), cfg), cfg)

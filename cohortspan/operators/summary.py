@@ -17,6 +17,8 @@ and the cells that occur are unfolded at the end.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from cohortspan import config as c
 from cohortspan.config import CohortConfig
 from cohortspan.functions import columns as col
+from cohortspan.operators.gates import Gates
 
 SCOPE = {
     "school": ("DistrictCode", "DistrictName", "SchoolCode", "SchoolName"),
@@ -38,6 +41,7 @@ SENTINELS = {
 
 # 13 receipt months and one slot for none of them.
 MONTH_SLOTS = len(c.MONTHS) + 2
+REPEATED = 1 << MONTH_SLOTS  # beside a student's months: several rows of the extract are behind them
 MONTH_NAMES = (*c.MONTHS, c.NO_RECEIPT, None)
 
 
@@ -56,14 +60,18 @@ def _bits(cfg: CohortConfig) -> dict[str, Column]:
     return {f"months_{k}": F.when(here, bit).otherwise(F.lit(0)) for k, here in enumerate(slots)}
 
 
-def student_families(prepared: DataFrame, cfg: CohortConfig) -> dict[str, DataFrame]:
+def student_families(prepared: DataFrame, cfg: CohortConfig, gates: Gates | None = None) -> dict[str, DataFrame]:
     """Per level, one row per family and student with the student's months as bits."""
     bits = _bits(cfg)
     either = [F.bit_or(name).alias(name) for name in bits]
-    school = prepared.withColumns(bits).groupBy(*family_keys("school", cfg), "StudentID").agg(*either)
+    first = [F.bit_or("months_0").bitwiseOR(F.when(F.count(F.lit(1)) > 1, REPEATED).otherwise(0)).alias("months_0")]
+    reduced = first + either[1:] if gates else either
+    school = prepared.withColumns(bits).groupBy(*family_keys("school", cfg), "StudentID").agg(*reduced)
     # A student has at most one row per school-level family by now, so no
     # partition can be overrun by one student, nor by rows without a student.
     lea = school.repartition("SchoolYear", "StudentID")
+    if gates:
+        lea = gates.watch_students(lea, F.col("months_0").bitwiseAND(REPEATED) != 0)
     lea = lea.groupBy(*family_keys("lea", cfg), "StudentID").agg(*either)
     state = lea.groupBy(*family_keys("state", cfg), "StudentID").agg(*either)
     return {"school": school, "lea": lea, "state": state}
@@ -86,7 +94,7 @@ def _labelled(students: DataFrame, level: str, cfg: CohortConfig) -> DataFrame:
     )
 
 
-def _count_cells(students: DataFrame, cfg: CohortConfig) -> DataFrame:
+def _count_cells(students: DataFrame, cfg: CohortConfig, gates: Gates | None = None) -> DataFrame:
     """``seniors`` per family and ``n`` per cell, from one aggregation."""
     family = ["level", "SchoolYear", *ALL_SCOPE_COLUMNS, "Grade", *cfg.subgroups]
     cells = [
@@ -97,6 +105,8 @@ def _count_cells(students: DataFrame, cfg: CohortConfig) -> DataFrame:
     wide = students.groupBy(*family).agg(
         F.count(F.lit(1)).alias("seniors"), *[F.expr(count).alias(name) for *_, name, count in cells]
     )
+    if gates:
+        wide = gates.watch_families(wide, reduce(add, [F.col(name) for *_, name, _ in cells]))
     unfolded = F.array(*[
         F.struct(
             F.lit(MONTH_NAMES[month - 1]).cast("string").alias("ApplicationReceiptMonth"),
@@ -118,11 +128,11 @@ def summarise(prepared: DataFrame, level: str, cfg: CohortConfig) -> DataFrame:
     return _count_cells(_labelled(student_families(prepared, cfg)[level], level, cfg), cfg)
 
 
-def summarise_levels(prepared: DataFrame, cfg: CohortConfig) -> DataFrame:
-    """The summary table: schools, districts and state in one job."""
-    students = student_families(prepared, cfg)
+def summarise_levels(prepared: DataFrame, cfg: CohortConfig, gates: Gates | None = None) -> DataFrame:
+    """The summary table: schools, districts and state in one job, which also takes the measures of ``gates``."""
+    students = student_families(prepared, cfg, gates)
     school, lea, state = (_labelled(students[level], level, cfg) for level in c.LEVELS)
-    return _count_cells(school.unionByName(lea).unionByName(state), cfg)
+    return _count_cells(school.unionByName(lea).unionByName(state), cfg, gates)
 
 
 def sort_app_data(

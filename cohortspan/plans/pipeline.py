@@ -11,21 +11,23 @@ from pyspark.sql import DataFrame
 from cohortspan.config import CohortConfig, Selection
 from cohortspan.operators import detail, trend
 from cohortspan.operators.extract import build_extract
+from cohortspan.operators.gates import Gates
 from cohortspan.operators.prep import prepare, summary_columns
 from cohortspan.operators.summary import summarise_levels
 from cohortspan.staging import stage
 
 
 def build_app_data(
-    sources: Mapping[str, DataFrame], cfg: CohortConfig, as_of: dt.date | None = None
+    sources: Mapping[str, DataFrame], cfg: CohortConfig, as_of: dt.date | None = None,
+    snapshots: DataFrame | None = None, gates: Gates | None = None,
 ) -> DataFrame:
-    """Extract, preparation and summary.
+    """Extract, preparation and summary; ``gates`` measures what it is made from on the way.
 
     The extract is staged, as it is read three times, and without the columns
     the summary does not need: they then drop out of its last shuffles too.
     """
-    extract = build_extract(sources, cfg, as_of=as_of).select(*summary_columns(cfg))
-    return summarise_levels(prepare(stage(extract, "extract"), cfg), cfg)
+    extract = build_extract(sources, cfg, as_of=as_of, snapshots=snapshots).select(*summary_columns(cfg))
+    return summarise_levels(prepare(stage(extract, "extract"), cfg), cfg, gates)
 
 
 def selection_outputs(app: DataFrame, selection: Selection, cfg: CohortConfig) -> dict[str, DataFrame]:

@@ -7,6 +7,7 @@ from collections.abc import Collection, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType
 
+from cohortspan.sources.jdbc import read_jdbc
 from cohortspan.sources.schemas import SOURCE_SCHEMAS
 
 
@@ -34,12 +35,15 @@ def read_source(spark: SparkSession, spec: Mapping[str, object]) -> DataFrame:
     """One table from ``{"table": name}`` or ``{"format": f, "path": p, "options": {...}}``.
 
     Any Spark format works, so the enrolment warehouse and the application
-    system may live in different places. For ``jdbc`` give ``partitionColumn``,
-    ``lowerBound``, ``upperBound`` and ``numPartitions`` among the options;
-    without them a single task reads the whole table.
+    system may live in different places. For ``jdbc`` name a key besides,
+    ``{"format": "jdbc", "key": column, "options": {...}}``: the table is then read in
+    ranges of it, see ``read_jdbc``. Without one, and without Spark's own partitioning
+    options, a single task reads the whole table.
     """
     if "table" in spec:
         return spark.table(str(spec["table"]))
+    if spec["format"] == "jdbc" and "key" in spec:
+        return read_jdbc(spark, dict(spec["options"]), str(spec["key"]), spec.get("partitions"))
     reader = spark.read.format(str(spec["format"])).options(**dict(spec.get("options", {})))
     return reader.load(str(spec["path"])) if "path" in spec else reader.load()
 

@@ -474,4 +474,30 @@ _BODIES["selection_outputs_range"] = _outputs(_BODIES["trend_labels"], _BODIES["
 _BODIES["selection_outputs_year"] = _outputs(
     _BODIES["monthly_trend_labels"], _BODIES["scope_note_year"], "selected_year"
 )
+# Other ways to the same rows.
+_BODIES |= {
+    "latest_snapshot_folders": _BODIES["latest_snapshot"],
+    "latest_snapshot_footers": _BODIES["latest_snapshot"],
+    "extract_listed_snapshots": _BODIES["extract"],
+    "app_data_refreshed": _BODIES["app_data"],
+    "indexed_districts": _BODIES["district_choices"],
+    "indexed_schools": _BODIES["school_choices"],
+    "indexed_schools_range": _BODIES["school_choices_range"],
+    "indexed_subgroups": _BODIES["subgroup_choices"],
+    "indexed_selection": _BODIES["resolve_selection"],
+    "export_whole_file": _BODIES["app_data"],
+    "qa_gates": f"""
+        SELECT (SELECT count(*) FROM (SELECT 1 FROM prepared_rows
+                GROUP BY SchoolYear, DistrictCode, SchoolCode, StudentID HAVING count(*) > 1)) AS duplicate_keys,
+            (SELECT count(*) FROM (SELECT 1 FROM prepared_rows GROUP BY SchoolYear, StudentID
+                HAVING count(DISTINCT (DistrictCode, SchoolCode)) > 1)) AS multi_enrolled,
+            (SELECT count(*) FROM (SELECT DISTINCT SchoolYear, StudentID FROM prepared_rows)) AS students,
+            count(*) AS families, count(*) FILTER (diff > 0) AS families_over, count(*) FILTER (diff < 0) AS families_short,
+            CAST(max(diff) AS BIGINT) AS largest_excess
+        FROM ({_BODIES["qa_coverage"]})""",
+    "served_trends": _BODIES["trend_all_scopes"],
+    "served_school_trend": f"""
+        SELECT * FROM ({_BODIES["trend_all_scopes"]})
+        WHERE scope_school = '{SCHOOL}' AND scope_district = '{DISTRICT}'""",
+}
 ORACLES = {name: _sql(body) for name, body in _BODIES.items()}

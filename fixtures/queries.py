@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -10,9 +11,13 @@ from pyspark.sql import functions as F
 
 from cohortspan.config import Selection
 from cohortspan.functions import columns as col
-from cohortspan.operators import choices, detail, extract, prep, quality, summary, trend
-from cohortspan.plans import build_app_data, selection_outputs
-from cohortspan.sources import export_csv, load_app_data, read_extract, write_app_data
+from cohortspan.operators import choice_index, choices, detail, extract, prep, quality, summary, trend
+from cohortspan.operators.gates import Gates
+from cohortspan.plans import build_app_data, refresh_app_data, selection_outputs
+from cohortspan.sources import (
+    export_csv, export_file, latest_snapshots, load_app_data, load_sources, read_extract, write_app_data,
+)
+from cohortspan.sources.served import bucket_count, publish_trends, school_trend
 from cohortspan.sources.tables import conform
 from cohortspan.staging import stage, stage_path
 from fixtures import views
@@ -122,6 +127,31 @@ def latest_snapshot(spark, sf_dir):
     return extract.latest_snapshot(views.sources(spark, sf_dir)["enrollment"])
 
 
+def _enrollment_folder(spark, sf_dir, *partitions):
+    """The enrolment view as a folder of parquet files, and how to read it."""
+    path = stage_path(spark, "enrollment")
+    rows = views.enrollment(spark, sf_dir)
+    rows.repartition(*partitions).write.partitionBy(*partitions).parquet(path)
+    return {"format": "parquet", "path": path}
+
+
+@query
+def latest_snapshot_folders(spark, sf_dir):
+    return latest_snapshots(spark, _enrollment_folder(spark, sf_dir, "SchoolYear", "AsOf"))
+
+
+@query
+def latest_snapshot_footers(spark, sf_dir):
+    return latest_snapshots(spark, _enrollment_folder(spark, sf_dir, "SchoolYear"))
+
+
+@query
+def extract_listed_snapshots(spark, sf_dir):
+    spec = _enrollment_folder(spark, sf_dir, "SchoolYear", "AsOf")
+    sources = load_sources(spark, {**views.sources(spark, sf_dir), "enrollment": spec})
+    return extract.build_extract(sources, CONFIG, as_of=AS_OF, snapshots=latest_snapshots(spark, spec))
+
+
 @query
 def dim_join(spark, sf_dir):
     src = views.sources(spark, sf_dir)
@@ -242,6 +272,23 @@ def qa_lookup_codes(spark, sf_dir):
     return quality.lookup_reports(views.sources(spark, sf_dir))
 
 
+@query
+def qa_gates(spark, sf_dir):
+    """What the gates measure while the summary is written."""
+    gates = Gates()
+    stage(build_app_data(views.sources(spark, sf_dir), CONFIG, as_of=AS_OF, gates=gates), "app_data")
+    report = gates.check()
+    return spark.createDataFrame([tuple(report.values())], ", ".join(f"{name} long" for name in report))
+
+
+@query
+def export_whole_file(spark, sf_dir):
+    """The summary as one CSV file, read back."""
+    app = _app(spark, sf_dir)
+    path = export_file(app, stage_path(spark, "export"), AS_OF)
+    return spark.read.csv(path, header=True, schema=app.schema, nullValue="NA", escape='"', enforceSchema=False)
+
+
 @query
 def qa_crosstab_status(spark, sf_dir):
     return quality.yearly_crosstab(_extract(spark, sf_dir), "CompletedFAFSA")
@@ -346,6 +393,29 @@ def app_data_roundtrip(spark, sf_dir):
     return load_app_data(spark, path)
 
 
+def earlier_sources(sources):
+    """The sources as they may have been before: snapshots and applications to come, a school still called otherwise."""
+    years = F.col("SchoolYear").isin(1997, 2001)
+    late = years & (F.month("AsOf") > 4)
+    renamed = F.when(F.col("SchoolCode") == "112", F.lit("Old school")).otherwise(F.col("SchoolName"))
+    return {
+        **sources,
+        "enrollment": sources["enrollment"].filter(~late),
+        "isir": sources["isir"].filter("ISIRYear <> 1999 OR ISIRID % 3 > 0"),
+        "school": sources["school"].withColumn("SchoolName", renamed),
+    }
+
+
+@query
+def app_data_refreshed(spark, sf_dir):
+    """The summary table built from earlier sources and then brought up to date."""
+    name, path = f"app_data_{uuid.uuid4().hex}", stage_path(spark, "app_data")
+    sources = views.sources(spark, sf_dir)
+    for state in (earlier_sources(sources), sources):
+        refresh_app_data(state, CONFIG, name, path, as_of=AS_OF)
+    return spark.table(name)
+
+
 @query
 def qa_coverage(spark, sf_dir):
     return quality.coverage(_app(spark, sf_dir), CONFIG)
@@ -413,6 +483,38 @@ def resolve_selection(spark, sf_dir):
     return choices.resolve_selection(_app(spark, sf_dir), YEARS)
 
 
+def _choice_index(spark, sf_dir):
+    """The index written and read back; the summary it comes from is not read again."""
+    path = stage_path(spark, "choice_index")
+    choice_index.write_choice_index(choice_index.build_choice_index(_app(spark, sf_dir)), path)
+    return choice_index.load_choice_index(spark, path)
+
+
+@query
+def indexed_districts(spark, sf_dir):
+    return choice_index.indexed_districts(_choice_index(spark, sf_dir), YEARS)
+
+
+@query
+def indexed_schools(spark, sf_dir):
+    return choice_index.indexed_schools(_choice_index(spark, sf_dir), ENDS, DISTRICT)
+
+
+@query
+def indexed_schools_range(spark, sf_dir):
+    return choice_index.indexed_schools(_choice_index(spark, sf_dir), ENDS, DISTRICT, whole_range=True)
+
+
+@query
+def indexed_subgroups(spark, sf_dir):
+    return choice_index.indexed_subgroups(_choice_index(spark, sf_dir), YEARS, DISTRICT, SCHOOL)
+
+
+@query
+def indexed_selection(spark, sf_dir):
+    return choice_index.indexed_selection(_choice_index(spark, sf_dir), YEARS)
+
+
 # -- one selection ----------------------------------------------------------
 
 @query
@@ -523,6 +625,25 @@ def trend_all_scopes(spark, sf_dir):
     return trend.trend_all_scopes(stage(_app(spark, sf_dir), "app_data"), CONFIG)
 
 
+def _published_trends(spark, sf_dir):
+    name = f"trends_{uuid.uuid4().hex}"
+    app = stage(_app(spark, sf_dir), "app_data")
+    publish_trends(trend.trend_all_scopes(app, CONFIG), name, bucket_count(app, schools_each=16))
+    return name
+
+
+@query
+def served_trends(spark, sf_dir):
+    """All trends, from the table that serves them."""
+    return spark.table(_published_trends(spark, sf_dir))
+
+
+@query
+def served_school_trend(spark, sf_dir):
+    """One school's lines, from its bucket."""
+    return school_trend(spark, _published_trends(spark, sf_dir), SCHOOL, DISTRICT)
+
+
 @query
 def trend_all_scopes_range(spark, sf_dir):
     """The same for a choice of years."""
