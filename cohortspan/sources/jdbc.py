@@ -54,13 +54,12 @@ def even_cuts(first: object, last: object, parts: int) -> list[object]:
 def weighted_cuts(counts: Sequence[tuple[object, int]], parts: int) -> list[object]:
     """Cuts among counted ranges, given by lower bound and number of rows, that leave about equal numbers of rows."""
     counts = sorted(counts)
-    share = max(1, -(-sum(n for _, n in counts) // parts))
-    cuts, held = [], 0
+    rows, cuts, before, shares = sum(n for _, n in counts), [], 0, 0
     for bound, n in counts:
-        if held and held + n > share:
+        if before * parts // rows > shares:
+            shares = before * parts // rows
             cuts.append(bound)
-            held = 0
-        held += n
+        before += n
     return cuts
 
 
