@@ -14,7 +14,7 @@ from pyspark.sql.types import NumericType
 from cohortspan.config import CohortConfig
 from cohortspan.functions import columns as col
 from cohortspan.sources.schemas import EXTRACT_SCHEMA, SOURCE_SCHEMAS
-from cohortspan.staging import stage
+from cohortspan.staging import stage_all
 
 GRAIN = ("SchoolYear", "StudentID", "SchoolCode")
 PERSON = ("LastName", "FirstName", "BirthDate")
@@ -207,18 +207,18 @@ def build_extract(
 
     ``snapshots`` lists the latest snapshots if they are known already, as
     ``sources.latest_snapshots`` tells them from folders and footers; else they take a pass
-    over two columns. That list and the four code tables are staged first, so that Spark knows they are small when it plans the main
-    job: of unknown size, each would have all students shuffled on its few codes.
+    over two columns. That list and the code tables are staged first, side by side, unless Spark knows
+    already that they are small: of unknown size, each would have all students shuffled on its few codes.
     Give ``lookup_reports`` a look first if the code tables are not known to be
     clean, as a repeated code multiplies students.
     """
-    codes = {name: stage(sources[name], name) for name in ("school", "district", "race_code", "sped_code")}
     enrollment = optional_eq(sources["enrollment"], "SchoolYear", school_year)
     isir = optional_eq(sources["isir"], "ISIRYear", school_year)
+    small = {name: sources[name] for name in ("school", "district", "race_code", "sped_code")}
     if snapshots is None:
-        latest = stage(latest_snapshot(enrollment), "latest_snapshot")
-    else:
-        latest = optional_eq(snapshots, "SchoolYear", school_year)
+        small["latest_snapshot"] = latest_snapshot(enrollment)
+    codes = stage_all(small)
+    latest = codes["latest_snapshot"] if snapshots is None else optional_eq(snapshots, "SchoolYear", school_year)
 
     cohort = snapshot_rows(cohort_filter(enrollment, cfg), latest)
     named = cohort_columns(add_names(cohort, codes["school"], codes["district"]))

@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_all(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Stage several frames in jobs that run side by side; a frame of known small size is left as it is."""
+    todo = {name: df for name, df in frames.items() if not known_small(df)}
+    with ThreadPoolExecutor(max(1, len(todo))) as pool:
+        done = {name: pool.submit(stage, df, name) for name, df in todo.items()}
+        return {name: done[name].result() if name in done else df for name, df in frames.items()}
+
+
+def known_small(df: DataFrame) -> bool:
+    """Whether Spark will broadcast ``df`` in a join as it is, and is right to.
+
+    That is so for literal rows, and for files of small size from which columns and rows are just picked. What
+    multiplies or combines rows is of unknown size until it has been staged.
+    """
+    limit = _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = {line.lstrip(" :+-").split(" ", 1)[0] for line in plan.toString().splitlines() if line.strip()}
+    if not nodes <= {"Project", "Filter", "LocalRelation", "Relation"}:
+        return False
+    return int(str(plan.stats().sizeInBytes())) <= limit
+
+
+def _bytes(setting: str) -> int:
+    """A size as Spark's settings give it: ``10485760b``, ``10MB``, ``-1``."""
+    digits = setting.strip().lower().rstrip("bkmgti")
+    unit = setting.strip().lower()[len(digits):][:1]
+    return int(digits) * {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}[unit]
+
+
 @contextmanager
 def staged_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Remove at the end what is staged inside.
