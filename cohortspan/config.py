@@ -91,6 +91,8 @@ class CohortConfig:
     trend_months: int = TREND_MONTHS
     # A Spark collation for matching names, e.g. "UTF8_LCASE_RTRIM"; None is exact.
     name_collation: str | None = None
+    # Person keys that so many students of a snapshot share are looked for and matched apart; None looks for none.
+    hot_rows: int | None = None
 
     def subgroup(self, name: str) -> Subgroup:
         own = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,13 +14,16 @@ from pyspark.sql.types import NumericType
 from cohortspan.config import CohortConfig
 from cohortspan.functions import columns as col
 from cohortspan.sources.schemas import EXTRACT_SCHEMA, SOURCE_SCHEMAS
-from cohortspan.staging import stage_all
+from cohortspan.staging import stage, stage_all
 
 GRAIN = ("SchoolYear", "StudentID", "SchoolCode")
 PERSON = ("LastName", "FirstName", "BirthDate")
 # Application columns that identify the same person, in the order of PERSON.
 APPLICANT = ("StudentLastName", "StudentFirstName", "StudentDateOfBirth")
 
+# Person keys that a sketch keeps track of, and those it lists.
+PEOPLE_TRACKED, PEOPLE_LISTED = 2048, 256
+
 # Rows without a full person key match nobody, yet would all hash to one
 # partition of the match; they are spread over this many slots instead.
 UNMATCHABLE_SLOTS = 4096
@@ -36,6 +39,34 @@ def latest_snapshot(enrollment: DataFrame) -> DataFrame:
     return enrollment.groupBy("SchoolYear").agg(F.max("AsOf").alias("maxasof"))
 
 
+def person_key(year: str, last: str, first: str, born: str) -> Column:
+    """A person of a year in 64 bits, NULL if part of the key is missing."""
+    parts = [F.col(year).cast("int"), F.col(last).cast("string"), F.col(first).cast("string"), F.col(born).cast("date")]
+    return F.when(reduce(and_, [part.isNotNull() for part in parts]), F.xxhash64(*parts))
+
+
+def latest_snapshot_with_people(enrollment: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """``latest_snapshot`` with ``people``: the most frequent person keys of its cohort rows and their counts.
+
+    A sketch per snapshot rides along with the pass that finds the dates. It keeps ``PEOPLE_TRACKED`` keys, so every
+    key that holds more than a few hundredths of a per cent of a snapshot's cohort is among them.
+    """
+    key, cohort = person_key("SchoolYear", *PERSON), F.col("Grade") == F.lit(cfg.cohort_grade)
+    people = enrollment.select("SchoolYear", "AsOf", F.when(cohort, key).alias("person"))
+    per_snapshot = people.groupBy("SchoolYear", "AsOf").agg(
+        F.expr(f"approx_top_k_accumulate(person, {PEOPLE_TRACKED}) FILTER (WHERE person IS NOT NULL)").alias("sketch")
+    )
+    latest = per_snapshot.groupBy("SchoolYear").agg(F.max("AsOf").alias("maxasof"), F.max_by("sketch", "AsOf").alias("sketch"))
+    top = F.when(F.col("sketch").isNotNull(), F.expr(f"approx_top_k_estimate(sketch, {PEOPLE_LISTED})"))
+    return latest.select("SchoolYear", "maxasof", top.alias("people"))
+
+
+def frequent_people(listed: DataFrame, hot_rows: int) -> list[int]:
+    """Person keys that ``hot_rows`` rows or more share, from the lists of ``latest_snapshot_with_people``."""
+    frequent = listed.select(F.inline("people")).filter(F.col("item").isNotNull() & (F.col("count") >= hot_rows))
+    return sorted({row["item"] for row in frequent.select("item").collect()})
+
+
 def snapshot_rows(enrollment: DataFrame, latest: DataFrame) -> DataFrame:
     """Rows of the latest snapshots only.
 
@@ -137,23 +168,59 @@ def _collate(df: DataFrame, columns: Sequence[str], cfg: CohortConfig) -> DataFr
     return df.withColumns({c: F.collate(F.col(c), cfg.name_collation) for c in columns})
 
 
-def match_applications(students: DataFrame, isir: DataFrame, cfg: CohortConfig) -> DataFrame:
+def match_applications(
+    students: DataFrame, isir: DataFrame, cfg: CohortConfig, hot: Sequence[int] | None = None
+) -> DataFrame:
     """Add each student's latest receipt date, matched on year, name and birth date.
 
-    Students lacking part of the key are spread over slots of their own. The
-    slot also makes the application side shuffle as bare rows, the shape in
-    which adaptive execution can split one person key that many students share.
+    ``hot`` lists the person keys that very many students share, as ``frequent_people`` finds them. Their
+    applications, one row per key, are broadcast; their students, and those lacking part of
+    the key, get a place of their own in the join of all others, where they match nobody. Nothing else is done to
+    either side, so an application is shuffled once: what combined it is what the join needs.
+
+    Without a list, or where names are matched by a collation, a slot beside the key makes the application side
+    shuffle once more, as bare rows, the shape in which adaptive execution can split a key.
     """
+    # Without a receipt date an application changes nothing, matched or not.
+    received = isir.filter(F.col("ApplicationReceiptDate").isNotNull()).withColumn(
+        "ISIRYear", F.col("ISIRYear").cast("int")
+    )
+    if hot is None or cfg.name_collation is not None:
+        return _match_in_slots(students, received, cfg)
+    mine, theirs = person_key("SchoolYear", *PERSON), person_key("ISIRYear", *APPLICANT)
+    apart = mine.isNull() | (mine.isin(*hot) if hot else F.lit(False))
+    spread = F.pmod(F.xxhash64("StudentID", "SchoolCode"), F.lit(UNMATCHABLE_SLOTS)).cast("string")
+    last, first, born = PERSON
+    left = students.select(
+        "*", F.when(apart, spread).otherwise(F.col(last)).alias(f"__{last}"),
+        F.when(~apart, F.col(first)).alias(f"__{first}"), F.col(born).alias(f"__{born}"),
+    )
+    usual = _same_person(left, latest_application(received.filter(~theirs.isin(*hot)) if hot else received), "__")
+    if not hot:
+        return usual
+    # at most one row per key that is hot, or shares its hash
+    few = stage(latest_application(received.filter(theirs.isin(*hot))), "hot_applications")
+    few = few.withColumnRenamed("ApplicationReceiptDate", "__hot_receipt")
+    both = _same_person(usual, few, "")
+    receipt = F.coalesce("ApplicationReceiptDate", "__hot_receipt").alias("ApplicationReceiptDate")
+    return both.select(*students.columns, receipt)
+
+
+def _same_person(students: DataFrame, applications: DataFrame, prefix: str) -> DataFrame:
+    """Left join on year and person; ``prefix`` marks the students' key columns and those go with them."""
+    same = F.col("SchoolYear") == F.col("ISIRYear")
+    for mine, theirs in zip(PERSON, APPLICANT):
+        same = same & (F.col(f"{prefix}{mine}") == F.col(theirs))
+    helpers = [f"{prefix}{c}" for c in PERSON] if prefix else []
+    return students.join(applications, same, "left").drop("ISIRYear", *APPLICANT, *helpers)
+
+
+def _match_in_slots(students: DataFrame, received: DataFrame, cfg: CohortConfig) -> DataFrame:
     left = students.select("*", *[F.col(c).alias(f"__{c}") for c in PERSON])
     left = _collate(left, [f"__{c}" for c in PERSON[:2]], cfg)
     incomplete = reduce(or_, [F.col(c).isNull() for c in ("SchoolYear", *PERSON)])
     spread = F.pmod(F.xxhash64("StudentID", "SchoolCode"), F.lit(UNMATCHABLE_SLOTS)).cast("int") + 1
     left = left.withColumn("__slot", F.when(incomplete, spread).otherwise(F.lit(0)))
-
-    # Without a receipt date an application changes nothing, matched or not.
-    received = isir.filter(F.col("ApplicationReceiptDate").isNotNull()).withColumn(
-        "ISIRYear", F.col("ISIRYear").cast("int")
-    )
     right = latest_application(_collate(received, APPLICANT[:2], cfg)).select(
         F.col("ISIRYear"),
         *APPLICANT,
@@ -216,13 +283,19 @@ def build_extract(
     isir = optional_eq(sources["isir"], "ISIRYear", school_year)
     small = {name: sources[name] for name in ("school", "district", "race_code", "sped_code")}
     if snapshots is None:
-        small["latest_snapshot"] = latest_snapshot(enrollment)
-    codes = stage_all(small)
-    latest = codes["latest_snapshot"] if snapshots is None else optional_eq(snapshots, "SchoolYear", school_year)
+        find_hot = cfg.hot_rows is not None and cfg.name_collation is None
+        small["latest_snapshot"] = latest_snapshot_with_people(enrollment, cfg) if find_hot else latest_snapshot(enrollment)
+        codes = stage_all(small)
+        listed = codes["latest_snapshot"]
+    else:
+        codes = stage_all(small)
+        listed = optional_eq(snapshots, "SchoolYear", school_year)
+    latest = listed.select("SchoolYear", "maxasof")
+    hot = frequent_people(listed, cfg.hot_rows) if "people" in listed.columns and cfg.hot_rows is not None else None
 
     cohort = snapshot_rows(cohort_filter(enrollment, cfg), latest)
     named = cohort_columns(add_names(cohort, codes["school"], codes["district"]))
-    matched = match_applications(dedup_cohort(named), isir, cfg)
+    matched = match_applications(dedup_cohort(named), isir, cfg, hot)
     labelled = add_sped_definition(
         add_race_title(matched, codes["race_code"]), codes["sped_code"]
     )

@@ -479,6 +479,7 @@ _BODIES |= {
     "latest_snapshot_folders": _BODIES["latest_snapshot"],
     "latest_snapshot_footers": _BODIES["latest_snapshot"],
     "extract_listed_snapshots": _BODIES["extract"],
+    "extract_hot_people": _BODIES["extract"],
     "app_data_refreshed": _BODIES["app_data"],
     "indexed_districts": _BODIES["district_choices"],
     "indexed_schools": _BODIES["school_choices"],

@@ -1,10 +1,12 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortspan.config import EXCLUDED_SCHOOLS, CohortConfig
 from cohortspan.operators import extract
 from cohortspan.sources.schemas import EXTRACT_SCHEMA, SOURCE_SCHEMAS
+from cohortspan.staging import stage
 from tests.conftest import SF_DIR, final_plan, records
 
 CFG = CohortConfig()
@@ -208,7 +210,6 @@ def test_latest_snapshots_prune_partitions(spark, tmp_path):
     path = str(tmp_path / "enrollment")
     rows.write.partitionBy("SchoolYear", "AsOf").parquet(path)
     table = spark.read.parquet(path)
-    from cohortspan.staging import stage
 
     kept = extract.snapshot_rows(table, stage(extract.latest_snapshot(table), "latest"))
     plan = final_plan(kept)
@@ -232,7 +233,6 @@ def test_codes_compare_as_the_definition_compares_them(spark):
 def test_types_of_the_source_are_filtered_on(spark, tmp_path):
     """Two snapshots of one day are two; integer codes and snapshot times still prune and push down."""
     from cohortspan.sources import load_sources
-    from cohortspan.staging import stage
 
     times = [dt.datetime(2020, 6, 1, h) for h in (8, 12)]
     rows = enrolled(spark, {"StudentID": 1, "SchoolCode": "7"}).drop("AsOf", "SchoolCode", "Grade")
@@ -265,3 +265,68 @@ def test_lookup_report_counts_repeated_codes(spark):
     tables = sources(spark, None, None, race_code=[("1", "a"), ("1 ", "b"), ("2", "c")])
     got = {r["code_table"]: (r["codes"], r["repeated"]) for r in records(lookup_reports(tables))}
     assert got == {"school": (2, 0), "district": (2, 0), "race_code": (2, 1), "sped_code": (1, 0)}
+
+
+def many_students(spark, hot_rows):
+    """Students of whom very many share one person key, some lack part of theirs, and their applications."""
+    students = enrolled(spark, {}).drop("StudentID", "LastName", "FirstName", "BirthDate").crossJoin(spark.sql(f"""
+        SELECT id AS StudentID,
+            CASE WHEN id < {hot_rows} THEN 'Unknown' WHEN id % 10 = 0 THEN NULL ELSE 'L' || id % 400 END AS LastName,
+            CASE WHEN id < {hot_rows} THEN 'Unknown' WHEN id % 10 = 1 THEN NULL ELSE 'F' END AS FirstName,
+            CASE WHEN id % 10 = 2 AND id >= {hot_rows} THEN NULL ELSE DATE '2000-01-01' END AS BirthDate
+        FROM range(6000)"""))
+    columns = enrolled(spark, {}).columns
+    receipts = applied(spark, {}).drop("StudentLastName", "StudentFirstName", "ApplicationReceiptDate", "StudentDateOfBirth")
+    receipts = receipts.crossJoin(spark.sql("""
+        SELECT 'L' || id % 300 AS StudentLastName, 'F' AS StudentFirstName, DATE '2000-01-01' AS StudentDateOfBirth,
+            date_add(DATE '2020-01-01', CAST(id % 90 AS INT)) AS ApplicationReceiptDate FROM range(2000)
+        UNION ALL SELECT 'Unknown', 'Unknown', DATE '2000-01-01', DATE '2020-06-01'
+        UNION ALL SELECT '17', NULL, DATE '2000-01-01', DATE '2020-06-01'
+        UNION ALL SELECT NULL, 'F', NULL, DATE '2020-06-01'"""))
+    return students.select(*columns), receipts.select(*applied(spark, {}).columns)
+
+
+def test_hot_people_are_matched_by_broadcast(spark, settings):
+    students, isir = (stage(df, "side") for df in many_students(spark, 2000))
+    listed = stage(extract.latest_snapshot_with_people(students.withColumn("Grade", F.lit("12")), CFG), "listed")
+    hot = extract.frequent_people(listed, 1000)
+    assert len(hot) == 1
+    want = sorted(map(str, extract.match_applications(students, isir, CFG).collect()))
+    for threshold in ("10MB", "2KB"):
+        settings(**{"spark.sql.autoBroadcastJoinThreshold": threshold})
+        for keys in (hot, []):
+            matched = extract.match_applications(students, isir, CFG, keys)
+            assert matched.columns == [*students.columns, "ApplicationReceiptDate"]
+            assert sorted(map(str, matched.collect())) == want
+
+
+def test_applications_are_shuffled_once_and_hot_students_spread(spark, settings):
+    settings(**{
+        "spark.sql.autoBroadcastJoinThreshold": "4KB", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    })
+    students, isir = (stage(df, "side") for df in many_students(spark, 2000))
+    hot = extract.frequent_people(stage(extract.latest_snapshot_with_people(students.withColumn("Grade", F.lit("12")), CFG), "listed"), 1000)
+
+    def exchanges(df):
+        return final_plan(df).count("Exchange hashpartitioning")
+
+    known, unknown = (extract.match_applications(students, isir, CFG, keys) for keys in (hot, None))
+    assert exchanges(known) == exchanges(extract.match_applications(students, isir, CFG, [])) == exchanges(unknown) - 1
+    assert "BroadcastHashJoin" in final_plan(known)
+    loads = [r["n"] for r in known.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(loads) < 2 * 6000 / len(loads)
+
+
+def test_people_are_counted_in_the_latest_snapshot_of_the_cohort(spark):
+    rows = []
+    for k in range(4):
+        rows += [
+            {"StudentID": k, "LastName": "Now"}, {"StudentID": k, "LastName": None},
+            {"StudentID": k, "LastName": "Then", "AsOf": dt.date(2010, 1, 1)}, {"StudentID": k, "LastName": "Young", "Grade": "11"},
+        ]
+    listed = extract.latest_snapshot_with_people(enrolled(spark, *rows, {"LastName": "Rare"}), CFG)
+    now = enrolled(spark, {"LastName": "Now"}).select(extract.person_key("SchoolYear", *extract.PERSON)).first()[0]
+    assert extract.frequent_people(listed, 3) == [now]
+    assert records(listed.drop("people")) == records(extract.latest_snapshot(enrolled(spark, *rows)))
+    assert extract.frequent_people(listed.limit(0), 3) == []
