@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspan.llm.texts import slices
+from cohortspan.llm.rows import ROW_KEY, every_row, with_row_key
+from cohortspan.llm.texts import Shared, slices
 from cohortspan.staging import stage, staged_tables
 
 MOST_WORDS = 20_000
@@ -186,7 +186,7 @@ def _sums(scores: str, langs: list[str], times: Column | int = 1) -> Column:
     return F.array(*[F.sum(F.col(scores)[k] * times) for k in range(len(langs))])
 
 
-def scores_beyond(words: DataFrame, scorer: Scorer, shared: Broadcast) -> DataFrame:
+def scores_beyond(words: DataFrame, scorer: Scorer, shared: Shared) -> DataFrame:
     """``word`` and ``scores`` of distinct words beyond the head; none for a word without a known character."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def predict(docs: DataFrame, scorer: Scorer, carry: tuple[str, ...] = ("doc_id",
     """
     if not scorer.langs:
         return docs.select(*carry, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    shared = Shared(docs.sparkSession, scorer)
     inner = [f"_{k}" for k in range(len(carry))]  # carried names may clash with those used here
     text = inner[carry.index("text")] if "text" in carry else "text"
 
@@ -292,8 +292,24 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def accepted(docs: DataFrame, scorer: Scorer, least_score: float) -> DataFrame:
-    """The documents, all columns as they came, whose language is told with ``least_score`` or more."""
-    renamed = docs.toDF(*[c if c == "text" else f"__{c}" for c in docs.columns])
-    found = predict(renamed, scorer, carry=tuple(renamed.columns))
+    """The documents, all columns as they came, whose language is told with ``least_score`` or more.
+
+    Equal rows are judged once and stay or go together. Texts are looked at where they lie; the
+    decisions travel by row key, and what was staged on the way is removed.
+    """
+    with staged_tables(docs.sparkSession) as keep:
+        chosen = keep(_accepted_keys(docs, scorer, least_score), "accepted")
+    return every_row(docs, chosen)
+
+
+def keep_told(docs: DataFrame, least_score: float) -> DataFrame:
+    """``accepted`` by what the documents themselves teach, which is removed with the rest."""
+    with staged_tables(docs.sparkSession) as keep:
+        chosen = keep(_accepted_keys(docs, fit(docs), least_score), "accepted")
+    return every_row(docs, chosen)
+
+
+def _accepted_keys(docs: DataFrame, scorer: Scorer, least_score: float) -> DataFrame:
+    found = predict(with_row_key(docs), scorer, carry=tuple(ROW_KEY))
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    return kept.select(*renamed.columns).toDF(*docs.columns)
+    return kept.select(*ROW_KEY).distinct()

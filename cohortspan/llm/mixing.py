@@ -235,17 +235,17 @@ def mixed_documents(docs: DataFrame, **settings: object) -> DataFrame:
     with staged_tables(docs.sparkSession) as kept:
         taken = mix(with_row_key(docs), carry=ROW_KEY, **settings).groupBy(*ROW_KEY).agg(
             F.count(F.lit(1)).alias("rows"),
-            F.collect_list(F.when(F.col("taken") > 0, F.struct(*pieces))).alias("__pieces"),
+            F.collect_list(F.when(F.col("taken") > 0, F.struct(*pieces))).alias("pieces"),
         )
-        chosen = kept(taken.where(F.size("__pieces") > 0), "taken")
-    words = F.regexp_extract_all(F.col("text"), F.lit(f"([^{BREAKS}]+[{BREAKS}]*)"), F.lit(1))
+        chosen = kept(taken.where(F.size("pieces") > 0), "taken")
+    words = F.regexp_extract_all(F.col("own.text"), F.lit(f"([^{BREAKS}]+[{BREAKS}]*)"), F.lit(1))
     part = lambda a, b: F.array_join(F.slice(words, a.cast("int") + 1, (b - a).cast("int")), "")
-    copies = F.transform("__pieces", lambda p: F.concat(
-        F.array_repeat(F.col("text"), p["passes"].cast("int")),
+    copies = F.transform("pieces", lambda p: F.concat(
+        F.array_repeat(F.col("own.text"), p["passes"].cast("int")),
         *[
             F.when(p[b] > p[a], F.array(part(p[a], p[b]))).otherwise(F.array().cast("array<string>"))
             for a, b in (("from_1", "to_1"), ("from_2", "to_2"))
         ],
     ))
-    rows = pick_rows(docs, chosen).withColumn("__copy", F.explode(F.flatten(copies)))
-    return rows.select(*[F.col("__copy").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    rows = pick_rows(docs, chosen).select("own", F.explode(F.flatten(copies)).alias("copy"))
+    return rows.select(*[F.col("copy").alias("text") if c == "text" else F.col(f"own.`{c}`") for c in docs.columns])

@@ -103,6 +103,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
     )
 
 
@@ -122,11 +123,13 @@ WITH own AS (
     SELECT conv_id, count(*) AS n_turns,
            string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS all_turns,
            coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
-           sum(length('### ' || safe_role || ': ' || safe || ' </turn>' || chr(10)))::BIGINT AS formatted_chars
+           sum(length('### ' || safe_role || ': ' || safe || ' </turn>' || chr(10)))::BIGINT AS formatted_chars,
+           string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE '-' END, ''
+               ORDER BY turn NULLS FIRST, role, text) AS moves
     FROM written GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(all_turns) AS turns_sha256, length(loss) AS loss_chars,
-       sha256(loss) AS loss_sha256, formatted_chars
+       sha256(loss) AS loss_sha256, formatted_chars, regexp_full_match(moves, 's?(ua)+') AS valid
 FROM joined
 """
 
@@ -159,16 +162,18 @@ FROM embeddings e JOIN least ON node = e.vec_id
 
 @query
 def op8_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger.ledger(documents(spark, sf_dir))
+    rows = ledger.apply_policies(ledger.ledger(documents(spark, sf_dir)))
     failed = ledger.fails(ledger.BASE)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & ~ledger.fails(ledger.POLICIES[ledger.CURRENT])).alias("kept"),
+        "fail_bits", *[f"kept_{version}" for version in ledger.POLICIES],
     )
 
 
-ORACLES["op8_ledger"] = r"""
+# What the ledger holds, written from its rules: the measurements and a bit per failed rule.
+_LEDGER = r"""
 WITH texts AS (
     SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
     FROM documents
@@ -190,12 +195,35 @@ WITH texts AS (
            coalesce(n, 0)::BIGINT AS n_repeat_words,
            len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words
     FROM lined LEFT JOIN covered USING (doc_id)
+), ruled AS (
+    SELECT *, [n_words < 20, 100 * n_repeat_words > 30 * n_words, n_symbols > n_words, word_chars < 2 * n_words,
+               word_chars > 20 * n_words, 2 * n_dup_lines > n_lines, 2 * n_letter_words < n_words] AS fails
+    FROM measured
 )
+"""
+ORACLES["op8_ledger"] = _LEDGER + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_symbols > n_words OR word_chars < 2 * n_words
-            OR word_chars > 20 * n_words OR 2 * n_dup_lines > n_lines OR 2 * n_letter_words < n_words) AS kept
-FROM measured
+       fails[1] OR fails[2] AS base_failed, NOT list_bool_or(fails) AS kept,
+       list_sum(list_transform(fails, lambda f, i: f::INTEGER * (1 << (i - 1)::INTEGER)))::BIGINT AS fail_bits,
+       NOT (fails[1] OR fails[2]) AS kept_v1, NOT list_bool_or(fails[1:6]) AS kept_v2, NOT list_bool_or(fails) AS kept_v3
+FROM ruled
+"""
+
+
+def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy does to the whole table, from the ledger's bits."""
+    return ledger.ablations(ledger.ledger(documents(spark, sf_dir)), ledger.POLICIES[ledger.CURRENT])
+
+
+QUERIES["ledger_ablations"] = ledger_ablations
+ORACLES["ledger_ablations"] = _LEDGER + """, cases AS (
+    SELECT unnest(['few_words', 'repeated_windows', 'many_symbols', 'short_words', 'long_words', 'duplicate_lines',
+                   'few_letter_words']) AS rule, unnest(range(1, 8)) AS i
+)
+SELECT rule, count(*) FILTER (fails[i]) AS failed,
+       count(*) FILTER (fails[i] AND len(list_filter(fails, lambda f: f)) = 1) AS failed_alone,
+       count(*) FILTER (len(list_filter(fails, lambda f: f)) = fails[i]::INTEGER) AS kept_without
+FROM ruled, cases GROUP BY rule
 """
 
 

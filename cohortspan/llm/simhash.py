@@ -197,4 +197,4 @@ def keep_one(docs: DataFrame, words_each: int = SHINGLE_WORDS, most_bits: int =
         alike = found.groupBy("root", "doc_id", *ROW_KEY).agg(F.count(F.lit(1)).alias("rows"))
         first = alike.groupBy("root").agg(F.min_by(F.struct(*ROW_KEY, "rows"), rank).alias("first"))
         chosen = kept(first.select("first.*"), "chosen")
-    return pick_rows(docs, chosen).select(*docs.columns)
+    return pick_rows(docs, chosen).select("own.*")

@@ -402,6 +402,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
 
     A text of which nothing is removed stays as it is, line breaks included.
     """
-    done = dedup_texts(docs, window, phrase, changed_only=True).select(F.col("key").alias("__key"), F.col("kept").alias("__kept"))
-    changed = docs.withColumn("__own", text_key(F.col("text"))).join(done, F.col("__own") == F.col("__key"), "left")
-    return changed.select(*[F.coalesce("__kept", "text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    done = dedup_texts(docs, window, phrase, changed_only=True)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    changed = docs.select(own, text_key(F.col("text")).alias("key")).join(done, "key", "left")
+    return changed.select(*[F.coalesce("kept", "own.text").alias(c) if c == "text" else F.col(f"own.`{c}`") for c in docs.columns])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,26 @@ def kept_in_worker(name: str, make: Callable[[], object]) -> object:
     return kept[name]
 
 
+class Shared:
+    """An object sent to the executors once, which need no copy of this package to read it.
+
+    It travels as bytes that hold its classes too. A Python worker keeps the two objects it met last.
+    """
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.name = uuid.uuid4().hex
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self) -> object:
+        kept = vars(sys).setdefault("_shared_in_worker", {})
+        if self.name not in kept:
+            while len(kept) > 1:
+                del kept[next(iter(kept))]
+            kept[self.name] = pickle.loads(self.packed.value)
+        return kept[self.name]
+
+
 class Remembered(dict):
     """Results of ``make`` by key. When full, the half remembered first is kept.
 

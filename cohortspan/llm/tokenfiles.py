@@ -22,7 +22,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import islice
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -127,10 +126,19 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(printed) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and store that Spark itself finds it in, whether it names them or not."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return str(store.makeQualified(path).toString())
+
+
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    if urlparse(folder).scheme:
-        return fs.FileSystem.from_uri(folder)
-    return fs.LocalFileSystem(), folder
+    """Arrow's view of a qualified folder; what Hadoop reads as ``s3a`` or ``s3n`` Arrow knows as ``s3``."""
+    scheme, _, rest = folder.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
 
 
 def write_token_files(
@@ -143,7 +151,7 @@ def write_token_files(
     comes first.
     """
     spark = docs.sparkSession
-    folder = stage_path(spark, "token-files")
+    folder = qualified(spark, stage_path(spark, "token-files"))
     width = 2 if vocabulary <= 1 << 16 else 4
     dtype = np.dtype(f"<u{width}")
 

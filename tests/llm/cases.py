@@ -12,6 +12,7 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CLASHING = (
     "key", "size", "taken", "fp", "root", "node", "component_id", "n_words", "ids", "row", "start", "words",
     "spans", "cell", "lang_pred", "score", "count", "part", "shard", "kept", "copies", "__row", "rank",
+    "rows", "own", "copy", "pieces", "passes", "__pieces", "__key", "__own", "__kept", "__copy", "__source", "__row_1", "first",
 )
 
 
