@@ -203,6 +203,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     based = manifest.withColumn("base", F.coalesce(F.sum("ids").over(earlier), F.lit(0)))
     files = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folder = qualified(manifest.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, home = _store(folder)
