@@ -320,8 +320,8 @@ def test_scores_and_base(spark):
     assert all(r["score"] < 0 for r in got)
 
 
-def test_discounted_words_score_alike_in_and_beyond_the_head(spark, monkeypatch):
-    """By brute force: a word of a class has its count less the discount, a word never seen what that leaves."""
+def test_words_of_a_class_score_alike_in_and_beyond_the_head(spark, monkeypatch):
+    """By brute force: a word of a class has its count and one, a word never seen one."""
     import numpy as np
 
     fitted = []
@@ -350,9 +350,7 @@ def test_discounted_words_score_alike_in_and_beyond_the_head(spark, monkeypatch)
         if w in vocabulary:
             return 1.0
         k = shape(w)
-        if not mass[k]:
-            return 1.0
-        return (counts[w] - 0.75 if counts[w] else 0.75 * types[k]) / mass[k]
+        return (counts[w] + 1) / (mass[k] + types[k] + 1)
 
     scores = []
     for size in (0, 200_000):
@@ -370,7 +368,30 @@ def test_discounted_words_score_alike_in_and_beyond_the_head(spark, monkeypatch)
     assert np.allclose(*scores)
     for k in mass:
         seen = sum(inner(w) for w in counts if w not in vocabulary and shape(w) == k)
-        assert seen + 0.75 * types[k] / mass[k] == pytest.approx(1)
+        assert seen + 1 / (mass[k] + types[k] + 1) == pytest.approx(1)
+
+
+def test_the_model_beats_its_base_on_learned_and_on_held_out_texts(spark):
+    got = QUERIES["op4_logbilinear"](spark, "/root/testdata/sf0.01").collect()
+    for held_out in (False, True):
+        own = [r for r in got if r["held_out"] is held_out]
+        tokens = sum(r["n_tokens"] for r in own)
+        base, model = (sum(r[c] for r in own) / tokens for c in ("base_score", "score"))
+        assert model > base + 0.02, (held_out, base, model)
+
+
+def test_copies_share_out_every_occurrence(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(logbilinear, "COPY_TOKENS", 10)
+    monkeypatch.setattr(logbilinear, "ROUNDS", 1)
+    monkeypatch.setattr(logbilinear, "STEPS", 1)
+    staged = logbilinear.stage
+    monkeypatch.setattr(logbilinear, "stage", lambda df, name: seen.append(staged(df, name)) or seen[-1])
+    triples = spark.createDataFrame([(k, 1 + k * k % 17) for k in range(27)], "triple long, count long")
+    logbilinear.fit_model(triples, 2)
+    dealt = seen[-1].groupBy("triple").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.min("count").alias("least"))
+    assert {r["triple"]: r["n"] for r in dealt.collect()} == {k: 1 + k * k % 17 for k in range(27)}
+    assert seen[-1].select("share").distinct().count() > 10
 
 
 def test_model_is_a_distribution_and_learns():
