@@ -10,10 +10,11 @@ anywhere else too.
 2. Confirming. Only stretches around anchors that occur twice go on. Their windows
    are counted by anchor and hash, 128 bits together; those found twice recur.
 3. Automata. Recurring windows and stretches are spread over shards by their
-   anchor. Each shard compiles the anchor phrases of its recurring windows into an
-   Aho-Corasick automaton over words and streams its stretches through it. Around
-   every phrase located, the windows that recur are marked, so every occurrence
-   of every recurring window is found.
+   anchor. Each shard compiles the words of its recurring windows into an
+   Aho-Corasick automaton and streams its stretches through it. What the automaton
+   reports is what is removed, so every occurrence of every recurring window is found,
+   word by word. Of each text, the stretches around anchors that occur twice take part; elsewhere
+   it cannot hold a window that occurs twice.
 4. Removing. A text's marked stretches are put together and the words removed.
 
 Equal texts are handled once, with their number as weight. The texts are written
@@ -40,7 +41,7 @@ from cohortspan.staging import stage, stage_path, staged_tables
 
 WINDOW = 35
 PHRASE = 8
-SHARD_WINDOWS = 100_000
+SHARD_WINDOWS = 40_000
 SHARD_STRETCHES = 40_000
 BASE = 0x9E3779B97F4A7C15  # odd, so that no information is lost by multiplying
 OTHER_WORD = 0x10FFFF
@@ -67,6 +68,18 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def places_of_least(values: np.ndarray, width: int) -> np.ndarray:
+    """For every run of ``width`` values the place of its smallest one, the first of equal ones."""
+    least, place, size = values, np.arange(len(values)), 1
+    while size < width:
+        step = min(size, width - size)
+        later = least[step:] < least[:-step]
+        place = np.where(later, place[step:], place[:-step])
+        least = np.where(later, least[step:], least[:-step])
+        size += step
+    return place
+
+
 def word_hashes(words: pa.Array, seed: int) -> np.ndarray:
     coded = words.dictionary_encode()
     digest = xxhash.xxh64_intdigest
@@ -83,8 +96,7 @@ def _anchors(window: int, phrase: int):
             text_of = np.repeat(np.arange(len(counts)), counts)
             phrases = mixed(rolled(word_hashes(words, 0), phrase))
             inside = np.flatnonzero(text_of[: len(words) - window + 1] == text_of[window - 1:])
-            view = np.lib.stride_tricks.sliding_window_view(phrases, window - phrase + 1)
-            anchor = view.argmin(axis=1)[inside] + inside
+            anchor = places_of_least(phrases, window - phrase + 1)[inside]
             new = np.ones(len(inside), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (text_of[inside[1:]] != text_of[inside[:-1]])
             first = np.flatnonzero(new)
@@ -151,7 +163,7 @@ def split_joined(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def joined(anchor: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Anchor and window hash in one number, to look both up at once; what is found is compared in full."""
+    """Anchor and window hash in one number, to look both up at once."""
     return mixed(anchor.view(np.uint64)) ^ window.view(np.uint64)
 
 
@@ -168,65 +180,63 @@ def _windows(window: int):
     return run
 
 
-def compiled(phrases: list[list[int]]) -> ahocorasick.Automaton:
+def compiled(passages: list[str]) -> ahocorasick.Automaton:
     """An Aho-Corasick automaton over words, each word being one character to it."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for phrase in phrases:
-        automaton.add_word("".join(map(chr, phrase)))
+    for passage in passages:
+        automaton.add_word(passage)
     automaton.make_automaton()
     return automaton
 
 
+def as_characters(number: np.ndarray, distinct: int, begins: np.ndarray, wanted: np.ndarray) -> str:
+    """All stretches in a row, a character before each; words at other places than ``wanted`` share one character."""
+    used = np.unique(number[wanted])
+    sign = np.full(distinct, OTHER_WORD, np.uint32)
+    codes = np.arange(len(used), dtype=np.uint32)
+    sign[used] = np.where(codes < 0xD800, codes, codes + 0x800)  # surrogates are no characters
+    return np.insert(sign[number], begins, OTHER_WORD).astype("<u4").tobytes().decode("utf-32-le")
+
+
 def shard_spans(shard: pa.Table, window: int, phrase: int) -> pa.RecordBatch | None:
-    """The stretches of a shard that recurring windows cover.
+    """The stretches of a shard that recurring windows cover, as its automaton locates them.
 
-    Rows with a ``hash`` are recurring windows, the others stretches.
+    Rows with a ``hash`` are recurring windows, the others stretches. Each recurring window is
+    looked up once, in a stretch that holds it, for its words; these the automaton is made of. All stretches
+    are streamed through it, and what it reports is what is covered.
     """
     known = shard.filter(shard["hash"].is_valid())
     stretches = shard.filter(shard["hash"].is_null()).combine_chunks()
     if not known.num_rows or not stretches.num_rows:
         return None
-    known_anchor, known_hash = known["anchor"].to_numpy(), known["hash"].to_numpy()
-    both = joined(known_anchor, known_hash)
-    order = np.argsort(both)
-    both, known_anchor, known_hash = both[order], known_anchor[order], known_hash[order]
-    anchors = stretches["anchor"].to_numpy()
+    both = np.unique(joined(known["anchor"].to_numpy(), known["hash"].to_numpy()))
     words, counts = split_joined(stretches["words"].combine_chunks())
     begins = np.cumsum(counts) - counts
     coded = words.dictionary_encode()
     number = coded.indices.to_numpy()
 
-    # phrases of recurring anchors, from a stretch that holds each
-    wanted, at = np.unique(anchors, return_index=True)
-    at = at[np.isin(wanted, known_anchor)]
-    if not len(at):
+    hashes, of, place = window_hashes(words, counts, window)
+    keys = joined(stretches["anchor"].to_numpy()[of], hashes)
+    slot = np.minimum(np.searchsorted(both, keys), len(both) - 1)
+    held = np.flatnonzero(both[slot] == keys)
+    held = held[np.unique(slot[held], return_index=True)[1]]  # the first place of each
+    if not len(held):
         return None
-    places = begins[at] + stretches["phrase"].to_numpy()[at]
-    in_phrases = np.unique(number[places[:, None] + np.arange(phrase)])
-    sign = np.full(len(coded.dictionary), OTHER_WORD, np.uint32)
-    codes = np.arange(len(in_phrases), dtype=np.uint32)
-    sign[in_phrases] = np.where(codes < 0xD800, codes, codes + 0x800)  # surrogates are no characters
-    # the stretches in a row, with a character between them that is in no phrase
-    text = np.insert(sign[number], begins, OTHER_WORD)
-    automaton = compiled([sign[number[p:p + phrase]].tolist() for p in places.tolist()])
-    located = np.zeros(len(words) + 1, bool)
-    row = text.astype("<u4").tobytes().decode("utf-32-le")
+    covered = np.zeros(len(number) + 1, np.int64)
+    np.add.at(covered, place[held], 1)
+    np.add.at(covered, place[held] + window, -1)
+    row = as_characters(number, len(coded.dictionary), begins, np.flatnonzero(np.cumsum(covered)[:-1]))
+    at = (place[held] + of[held] + 1).tolist()  # in the row, which has a character more before each stretch
+    automaton = compiled([row[k:k + window] for k in at])
     ends = np.fromiter((end for end, _ in automaton.iter(row)), np.int64)
-    if len(ends):
-        stretch_of = np.searchsorted(begins + np.arange(len(begins)), ends, side="right") - 1
-        located[ends - stretch_of - phrase] = True  # each stretch has one more character before it
-
-    hashes, of, place = window_hashes(words, counts, window)
-    slot = np.minimum(np.searchsorted(both, joined(anchors[of], hashes)), len(both) - 1)
-    recurs = (known_anchor[slot] == anchors[of]) & (known_hash[slot] == hashes)
-    hit = np.flatnonzero(recurs & located[begins[of] + stretches["phrase"].to_numpy()[of]])
-    if not len(hit):
+    if not len(ends):
         return None
-    of, start = of[hit], (place - begins[of])[hit]
-    new = np.ones(len(hit), bool)
+    of = np.searchsorted(begins + np.arange(len(begins)), ends, side="right") - 1
+    start = ends - window - of - begins[of]
+    new = np.ones(len(ends), bool)
     new[1:] = (of[1:] != of[:-1]) | (start[1:] > start[:-1] + window)
     first = np.flatnonzero(new)
-    last = np.concatenate((first[1:], [len(hit)])) - 1
+    last = np.concatenate((first[1:], [len(ends)])) - 1
     offset = stretches["first"].to_numpy()[of[first]]
     return pa.RecordBatch.from_arrays(
         [
