@@ -10,11 +10,11 @@ anywhere else too.
 2. Confirming. Only stretches around anchors that occur twice go on. Their windows
    are counted by anchor and hash, 128 bits together; those found twice recur.
 3. Automata. Recurring windows and stretches are spread over shards by their
-   anchor. Each shard compiles the words of its recurring windows into an
-   Aho-Corasick automaton and streams its stretches through it. What the automaton
-   reports is what is removed, so every occurrence of every recurring window is found,
-   word by word. Of each text, the stretches around anchors that occur twice take part; elsewhere
-   it cannot hold a window that occurs twice.
+   anchor. Each shard compiles the anchor phrases of its recurring windows into an
+   Aho-Corasick automaton over words and streams its stretches through it. Around every phrase
+   that the automaton reports, the windows of that phrase that recur are looked up and
+   compared word for word; these are removed. Of each text, the stretches around anchors that
+   occur twice take part; elsewhere it cannot hold a window that occurs twice.
 4. Removing. A text's marked stretches are put together and the words removed.
 
 Equal texts are handled once, with their number as weight. The texts are written
@@ -41,7 +41,7 @@ from cohortspan.staging import stage, stage_path, staged_tables
 
 WINDOW = 35
 PHRASE = 8
-SHARD_WINDOWS = 40_000
+SHARD_WINDOWS = 100_000
 SHARD_STRETCHES = 40_000
 BASE = 0x9E3779B97F4A7C15  # odd, so that no information is lost by multiplying
 OTHER_WORD = 0x10FFFF
@@ -180,63 +180,93 @@ def _windows(window: int):
     return run
 
 
-def compiled(passages: list[str]) -> ahocorasick.Automaton:
-    """An Aho-Corasick automaton over words, each word being one character to it."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for passage in passages:
-        automaton.add_word(passage)
+def compiled(phrases: list[str]) -> ahocorasick.Automaton:
+    """An Aho-Corasick automaton over words, each word being one character to it; it reports a phrase's place in the list."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, phrase in enumerate(phrases):
+        automaton.add_word(phrase, k)
     automaton.make_automaton()
     return automaton
 
 
-def as_characters(number: np.ndarray, distinct: int, begins: np.ndarray, wanted: np.ndarray) -> str:
-    """All stretches in a row, a character before each; words at other places than ``wanted`` share one character."""
-    used = np.unique(number[wanted])
+def as_characters(number: np.ndarray, distinct: int, begins: np.ndarray, used: np.ndarray) -> str:
+    """All stretches in a row, a character before each; words that are not ``used`` share one character."""
     sign = np.full(distinct, OTHER_WORD, np.uint32)
     codes = np.arange(len(used), dtype=np.uint32)
     sign[used] = np.where(codes < 0xD800, codes, codes + 0x800)  # surrogates are no characters
     return np.insert(sign[number], begins, OTHER_WORD).astype("<u4").tobytes().decode("utf-32-le")
 
 
+def located(row: str, places: np.ndarray, begins: np.ndarray, of: np.ndarray, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the phrases at ``places`` of stretches ``of`` occur anywhere in the row, and which phrase it is."""
+    at = (places + of + 1).tolist()  # the row has a character more before each stretch
+    automaton = compiled([row[k:k + phrase] for k in at])
+    hits = np.fromiter((x for hit in automaton.iter(row) for x in hit), np.int64).reshape(-1, 2)
+    stretch = np.searchsorted(begins + np.arange(len(begins)), hits[:, 0], side="right") - 1
+    return hits[:, 0] - phrase - stretch, hits[:, 1]
+
+
+def same_words(number: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    """Whether the windows at ``a`` and at ``b`` are the same word for word."""
+    same = a == b
+    for start in range(0, len(a), 1 << 14):
+        left = start + np.flatnonzero(~same[start:start + (1 << 14)])
+        span = np.arange(window)
+        same[left] = (number[a[left, None] + span] == number[b[left, None] + span]).all(axis=1)
+    return same
+
+
 def shard_spans(shard: pa.Table, window: int, phrase: int) -> pa.RecordBatch | None:
-    """The stretches of a shard that recurring windows cover, as its automaton locates them.
+    """The stretches of a shard that recurring windows cover.
 
-    Rows with a ``hash`` are recurring windows, the others stretches. Each recurring window is
-    looked up once, in a stretch that holds it, for its words; these the automaton is made of. All stretches
-    are streamed through it, and what it reports is what is covered.
+    Rows with a ``hash`` are recurring windows, the others stretches. The phrases that anchor recurring windows
+    make the automaton, and all stretches are streamed through it. Where it reports a phrase, the windows
+    around that place are looked up among the recurring windows of this very phrase, and one that is found
+    is compared word for word with the first of its kind.
     """
     known = shard.filter(shard["hash"].is_valid())
     stretches = shard.filter(shard["hash"].is_null()).combine_chunks()
     if not known.num_rows or not stretches.num_rows:
         return None
-    both = np.unique(joined(known["anchor"].to_numpy(), known["hash"].to_numpy()))
+    known_anchor = known["anchor"].to_numpy()
+    both = np.unique(joined(known_anchor, known["hash"].to_numpy()))
     words, counts = split_joined(stretches["words"].combine_chunks())
     begins = np.cumsum(counts) - counts
     coded = words.dictionary_encode()
     number = coded.indices.to_numpy()
 
-    hashes, of, place = window_hashes(words, counts, window)
-    keys = joined(stretches["anchor"].to_numpy()[of], hashes)
-    slot = np.minimum(np.searchsorted(both, keys), len(both) - 1)
-    held = np.flatnonzero(both[slot] == keys)
-    held = held[np.unique(slot[held], return_index=True)[1]]  # the first place of each
-    if not len(held):
+    # phrases of recurring anchors, from a stretch that holds each
+    wanted, of = np.unique(stretches["anchor"].to_numpy(), return_index=True)
+    recurs = np.isin(wanted, known_anchor)
+    wanted, of = wanted[recurs], of[recurs]
+    if not len(wanted):
         return None
-    covered = np.zeros(len(number) + 1, np.int64)
-    np.add.at(covered, place[held], 1)
-    np.add.at(covered, place[held] + window, -1)
-    row = as_characters(number, len(coded.dictionary), begins, np.flatnonzero(np.cumsum(covered)[:-1]))
-    at = (place[held] + of[held] + 1).tolist()  # in the row, which has a character more before each stretch
-    automaton = compiled([row[k:k + window] for k in at])
-    ends = np.fromiter((end for end, _ in automaton.iter(row)), np.int64)
-    if not len(ends):
+    places = begins[of] + stretches["phrase"].to_numpy()[of]
+    used = np.unique(number[places[:, None] + np.arange(phrase)])
+    at, which = located(as_characters(number, len(coded.dictionary), begins, used), places, begins, of, phrase)
+
+    hashes, _, inside = window_hashes(words, counts, window)
+    number_of = np.full(len(words) + 1, -1, np.int64)  # of the window that begins at a word
+    number_of[inside] = np.arange(len(inside))
+    around = at[:, None] - np.arange(window - phrase + 1)
+    begin = np.where(around < 0, -1, number_of[around])
+    # a window that begins in the stretch before ends there, so it does not reach the phrase
+    reaches = begin >= 0
+    begin, anchor = begin[reaches], np.repeat(wanted[which], reaches.sum(axis=1))
+    keys = joined(anchor, hashes[begin])
+    slot = np.minimum(np.searchsorted(both, keys), len(both) - 1)
+    found = np.flatnonzero(both[slot] == keys)
+    _, first, kind = np.unique(slot[found], return_index=True, return_inverse=True)
+    start = inside[begin[found]]
+    start = np.unique(start[same_words(number, start, start[first][kind], window)])
+    if not len(start):
         return None
-    of = np.searchsorted(begins + np.arange(len(begins)), ends, side="right") - 1
-    start = ends - window - of - begins[of]
-    new = np.ones(len(ends), bool)
+    of = np.searchsorted(begins, start, side="right") - 1
+    start = start - begins[of]
+    new = np.ones(len(start), bool)
     new[1:] = (of[1:] != of[:-1]) | (start[1:] > start[:-1] + window)
     first = np.flatnonzero(new)
-    last = np.concatenate((first[1:], [len(ends)])) - 1
+    last = np.concatenate((first[1:], [len(start)])) - 1
     offset = stretches["first"].to_numpy()[of[first]]
     return pa.RecordBatch.from_arrays(
         [

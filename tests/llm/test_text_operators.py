@@ -79,13 +79,22 @@ def test_the_automaton_decides_what_goes(monkeypatch):
     hashes, of, _ = substrings.window_hashes(column, counts, window)
     found = Counter(hashes.tolist())
     known = [h for h, n in found.items() if n > 1]
-    rows = [(7, h, None, None, None, None) for h in known]
-    rows += [(7, None, bytes([k]), 100, 0, text) for k, text in enumerate(texts)]
+    # two phrases anchor windows of the passage, the third one stands nowhere
+    anchors = {9: (11, 5), 20: (12, 40)}
+    rows = [(a, h, None, None, None, None) for a, _ in anchors.values() for h in known]
+    rows += [(a, None, bytes([k]), 100, place, text) for place, (a, _) in anchors.items() for k, text in enumerate(texts)]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string()]
     shard = pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], ["anchor", "hash", "key", "first", "phrase", "words"])
-    want = [(bytes([k]), 109, 139) for k in range(3)]
-    spans = lambda: substrings.shard_spans(shard, window, size)
-    assert [tuple(r.values()) for r in spans().to_pylist()] == want
+
+    def covered():
+        spans, out = substrings.shard_spans(shard, window, size), set()
+        for r in spans.to_pylist() if spans else []:
+            out |= {(r["key"], k) for k in range(r["from"], r["to"])}
+        return out
+
+    want = {(bytes([k]), 109 + i) for k in range(3) for i in range(30)}
+    near = {(k, i) for k, i in want if i < 109 + 3 + 20}  # what lies around the two phrases
+    assert near <= covered() <= want
 
     class Nothing:
         def iter(self, row):
@@ -93,12 +102,26 @@ def test_the_automaton_decides_what_goes(monkeypatch):
 
     class Everything:
         def iter(self, row):
-            return iter([(end, window) for end in range(window, len(row)) if end % 40 > window])
+            return iter([(end, 0) for end in range(size, len(row))])
 
-    monkeypatch.setattr(substrings, "compiled", lambda passages: Nothing())
-    assert spans() is None
-    monkeypatch.setattr(substrings, "compiled", lambda passages: Everything())
-    assert [tuple(r.values()) for r in spans().to_pylist()] != want
+    class Swapped:
+        def __init__(self, real, n):
+            self.real, self.n = real, n
+
+        def iter(self, row):
+            return iter([(end + 1, k) for end, k in self.real.iter(row)])
+
+    right, real = covered(), substrings.compiled
+    monkeypatch.setattr(substrings, "compiled", lambda phrases: Nothing())
+    assert covered() == set()
+    monkeypatch.setattr(substrings, "compiled", lambda phrases: Everything())
+    assert covered() != right
+    monkeypatch.setattr(substrings, "compiled", lambda phrases: Swapped(real(phrases), len(phrases)))
+    assert covered() != right
+
+    # two windows whose hashes meet by chance are told apart by their words
+    numbers = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
+    assert substrings.same_words(numbers, np.array([0, 0, 0]), np.array([0, 3, 6]), 3).tolist() == [True, False, True]
     values = np.random.default_rng(1).integers(0, 9, 500).astype(np.uint64)
     for width in (1, 2, 3, 7, 8, 28):
         view = np.lib.stride_tricks.sliding_window_view(values, width)
