@@ -197,13 +197,15 @@ def as_characters(number: np.ndarray, distinct: int, begins: np.ndarray, used: n
     return np.insert(sign[number], begins, OTHER_WORD).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def located(row: str, places: np.ndarray, begins: np.ndarray, of: np.ndarray, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the phrases at ``places`` of stretches ``of`` occur anywhere in the row, and which phrase it is."""
+def located(
+    row: str, places: np.ndarray, begins: np.ndarray, of: np.ndarray, phrase: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the phrases at ``places`` of stretches ``of`` occur anywhere in the row, in which stretch, and which it is."""
     at = (places + of + 1).tolist()  # the row has a character more before each stretch
     automaton = compiled([row[k:k + phrase] for k in at])
-    hits = np.fromiter((x for hit in automaton.iter(row) for x in hit), np.int64).reshape(-1, 2)
+    hits = np.array(list(automaton.iter(row)), np.int64).reshape(-1, 2)
     stretch = np.searchsorted(begins + np.arange(len(begins)), hits[:, 0], side="right") - 1
-    return hits[:, 0] - phrase - stretch, hits[:, 1]
+    return hits[:, 0] - phrase - stretch, stretch, hits[:, 1]
 
 
 def same_words(number: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
@@ -243,16 +245,17 @@ def shard_spans(shard: pa.Table, window: int, phrase: int) -> pa.RecordBatch | N
         return None
     places = begins[of] + stretches["phrase"].to_numpy()[of]
     used = np.unique(number[places[:, None] + np.arange(phrase)])
-    at, which = located(as_characters(number, len(coded.dictionary), begins, used), places, begins, of, phrase)
+    at, stretch, which = located(as_characters(number, len(coded.dictionary), begins, used), places, begins, of, phrase)
 
     hashes, _, inside = window_hashes(words, counts, window)
-    number_of = np.full(len(words) + 1, -1, np.int64)  # of the window that begins at a word
+    number_of = np.zeros(len(words), np.int64)  # of the window that begins at a word
     number_of[inside] = np.arange(len(inside))
-    around = at[:, None] - np.arange(window - phrase + 1)
-    begin = np.where(around < 0, -1, number_of[around])
-    # a window that begins in the stretch before ends there, so it does not reach the phrase
-    reaches = begin >= 0
-    begin, anchor = begin[reaches], np.repeat(wanted[which], reaches.sum(axis=1))
+    # the windows of a stretch that hold the phrase found in it
+    low = np.maximum(at - (window - phrase), begins[stretch])
+    high = np.minimum(at, begins[stretch] + counts[stretch] - window)
+    each = np.maximum(high - low + 1, 0)
+    begin = number_of[np.repeat(low - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+    anchor = np.repeat(wanted[which], each)
     keys = joined(anchor, hashes[begin])
     slot = np.minimum(np.searchsorted(both, keys), len(both) - 1)
     found = np.flatnonzero(both[slot] == keys)

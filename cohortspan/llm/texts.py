@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pickle
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -82,21 +81,19 @@ def kept_in_worker(name: str, make: Callable[[], object]) -> object:
 class Shared:
     """An object sent to the executors once, which need no copy of this package to read it.
 
-    It travels as bytes that hold its classes too. A Python worker keeps the two objects it met last.
+    It travels as bytes that hold its classes too. A Python worker unpacks it once and lets go of it when Spark
+    takes the broadcast back from the worker, as it does with any other.
     """
 
     def __init__(self, spark: SparkSession, value: object) -> None:
-        self.name = uuid.uuid4().hex
         self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
     @property
     def value(self) -> object:
-        kept = vars(sys).setdefault("_shared_in_worker", {})
-        if self.name not in kept:
-            while len(kept) > 1:
-                del kept[next(iter(kept))]
-            kept[self.name] = pickle.loads(self.packed.value)
-        return kept[self.name]
+        held = self.packed.value
+        if isinstance(held, bytes):
+            held = self.packed._value = pickle.loads(held)  # in place of the bytes
+        return held
 
 
 class Remembered(dict):
