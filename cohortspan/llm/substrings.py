@@ -7,10 +7,12 @@ anywhere else too.
    anchor. It depends on the window's words alone, so equal windows have equal
    anchors, and neighbouring windows mostly share one: there are about as many
    anchors as two in every ``window - phrase`` words.
-2. Confirming. Only stretches around anchors that occur twice go on. Their windows
-   are counted by anchor and hash, 128 bits together; those found twice recur.
-3. Automata. Recurring windows and stretches are spread over shards by their
-   anchor. Each shard compiles the anchor phrases of its recurring windows into an
+2. Confirming. Only stretches around anchors that occur twice go on. They are spread
+   over shards by their anchor, so a shard has all windows of its anchors, and those
+   found twice in it, by anchor and hash, 128 bits together, recur. An anchor with
+   more stretches than a shard should hold has its windows counted by Spark instead,
+   and they and its stretches are split over several shards.
+3. Automata. Each shard compiles the anchor phrases of its recurring windows into an
    Aho-Corasick automaton over words and streams its stretches through it. Around every phrase
    that the automaton reports, the windows of that phrase that recur are looked up and
    compared word for word; these are removed. Of each text, the stretches around anchors that
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -44,7 +47,7 @@ PHRASE = 8
 SHARD_WINDOWS = 100_000
 SHARD_STRETCHES = 40_000
 BASE = 0x9E3779B97F4A7C15  # odd, so that no information is lost by multiplying
-OTHER_WORD = 0x10FFFF
+DIGITS = 3
 
 
 def rolled(values: np.ndarray, size: int) -> np.ndarray:
@@ -82,8 +85,8 @@ def places_of_least(values: np.ndarray, width: int) -> np.ndarray:
 
 def word_hashes(words: pa.Array, seed: int) -> np.ndarray:
     coded = words.dictionary_encode()
-    digest = xxhash.xxh64_intdigest
-    table = np.array([digest(w, seed) for w in as_bytes(coded.dictionary)], np.uint64)
+    distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    table = np.fromiter(map(xxhash.xxh64_intdigest, distinct, repeat(seed)), np.uint64, len(distinct))
     return table[coded.indices.to_numpy()]
 
 
@@ -117,30 +120,29 @@ def _anchors(window: int, phrase: int):
 def _stretches(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = []
-            for key, copies, text, found in zip(
-                batch.column("key").to_pylist(), batch.column("copies").to_pylist(),
-                as_bytes(batch.column("text")), batch.column("found").to_pylist(),
-            ):
-                words = text.split()
-                for a in found:
-                    part = b" ".join(words[a["first"]:a["last"] + window]).decode()
-                    rows.append((a["anchor"], key, a["first"], a["phrase"], copies, part))
-                if len(rows) > 20_000:
-                    yield _rows(rows, STRETCH)
-                    rows = []
-            if rows:
-                yield _rows(rows, STRETCH)
+            found = batch.column("found")
+            anchor, first, last, place = (x.to_numpy() for x in found.flatten().flatten())
+            words, counts = split_words(batch.column("text"))
+            row = b" ".join(words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+            ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1) - 1
+            of = np.repeat(np.arange(len(counts)), pc.list_value_length(found).to_numpy())
+            begin = (np.cumsum(counts) - counts)[of]
+            start, stop = np.concatenate(([0], ends + 1))[begin + first], ends[begin + last + window - 1]
+            for low in range(0, len(of), 20_000):
+                some = slice(low, low + 20_000)
+                parts = [row[a:b] for a, b in zip(start[some].tolist(), stop[some].tolist())]
+                rows = pa.array(of[some])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(anchor[some]), batch.column("key").take(rows), pa.array(first[some]), pa.array(place[some]),
+                        batch.column("copies").take(rows), pa.array(parts, pa.binary()).cast(pa.string()),
+                    ],
+                    ["anchor", "key", "first", "phrase", "copies", "words"],
+                )
 
     return run
 
 
-STRETCH = pa.schema([
-    ("anchor", pa.int64()), ("key", pa.binary()), ("first", pa.int32()), ("phrase", pa.int32()),
-    ("copies", pa.int64()), ("words", pa.string()),
-])
-
-
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(values, kind) for values, kind in zip(zip(*rows), schema.types)], schema.names
@@ -181,7 +183,7 @@ def _windows(window: int):
 
 
 def compiled(phrases: list[str]) -> ahocorasick.Automaton:
-    """An Aho-Corasick automaton over words, each word being one character to it; it reports a phrase's place in the list."""
+    """An Aho-Corasick automaton over words, each word being ``DIGITS`` characters to it; it reports a phrase's place in the list."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for k, phrase in enumerate(phrases):
         automaton.add_word(phrase, k)
@@ -190,64 +192,104 @@ def compiled(phrases: list[str]) -> ahocorasick.Automaton:
 
 
 def as_characters(number: np.ndarray, distinct: int, begins: np.ndarray, used: np.ndarray) -> str:
-    """All stretches in a row, a character before each; words that are not ``used`` share one character."""
-    sign = np.full(distinct, OTHER_WORD, np.uint32)
-    codes = np.arange(len(used), dtype=np.uint32)
-    sign[used] = np.where(codes < 0xD800, codes, codes + 0x800)  # surrogates are no characters
-    return np.insert(sign[number], begins, OTHER_WORD).astype("<u4").tobytes().decode("utf-32-le")
+    """All stretches in a row, ``DIGITS`` characters a word and a sign before each; words that are not ``used`` share a sign.
+
+    An automaton looks a character up among those that may follow, one by one, so few characters make it fast. The
+    digits of a word have ranges of their own, so what is found begins with a word.
+    """
+    base = int(len(used) ** (1 / DIGITS)) + 1
+    sign = np.full((distinct + 1, DIGITS), DIGITS * base, "<u4")
+    for k in range(DIGITS):
+        sign[used, k] = np.arange(len(used)) // base**k % base + k * base
+    return sign[np.insert(number, begins, distinct)].tobytes().decode("utf-32-le")
 
 
 def located(
     row: str, places: np.ndarray, begins: np.ndarray, of: np.ndarray, phrase: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where the phrases at ``places`` of stretches ``of`` occur anywhere in the row, in which stretch, and which it is."""
-    at = (places + of + 1).tolist()  # the row has a character more before each stretch
-    automaton = compiled([row[k:k + phrase] for k in at])
-    hits = np.array(list(automaton.iter(row)), np.int64).reshape(-1, 2)
-    stretch = np.searchsorted(begins + np.arange(len(begins)), hits[:, 0], side="right") - 1
-    return hits[:, 0] - phrase - stretch, stretch, hits[:, 1]
+    at = (places + of + 1).tolist()  # the row has a sign more before each stretch
+    automaton = compiled([row[k * DIGITS:(k + phrase) * DIGITS] for k in at])
+    hits = np.fromiter(chain.from_iterable(automaton.iter(row)), np.int64).reshape(-1, 2)
+    end = hits[:, 0] // DIGITS
+    stretch = np.searchsorted(begins + np.arange(len(begins)), end, side="right") - 1
+    return end - phrase - stretch, stretch, hits[:, 1]
 
 
 def same_words(number: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
-    """Whether the windows at ``a`` and at ``b`` are the same word for word."""
+    """Whether the windows at ``a`` and at ``b`` are the same word for word. Words that neighbours share are compared once."""
     same = a == b
-    for start in range(0, len(a), 1 << 14):
-        left = start + np.flatnonzero(~same[start:start + (1 << 14)])
-        span = np.arange(window)
-        same[left] = (number[a[left, None] + span] == number[b[left, None] + span]).all(axis=1)
+    other = np.flatnonzero(~same)
+    for low in range(0, len(other), 1 << 15):
+        left = other[low:low + (1 << 15)]
+        x, y = a[left], b[left]
+        first, stop = runs(x - np.arange(len(x)), y - np.arange(len(y)))
+        each = stop - first + window - 1  # words
+        begin = np.cumsum(each) - each
+        within = np.arange(each.sum()) - np.repeat(begin, each)
+        differ = number[np.repeat(x[first], each) + within] != number[np.repeat(y[first], each) + within]
+        total = np.concatenate(([0], np.cumsum(differ)))
+        at = np.arange(len(left)) + np.repeat(begin - first, stop - first)
+        same[left] = total[at + window] == total[at]
     return same
 
 
+def kinds(keys: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """A number for each key found twice, the same for equal ones; -1 for others. A key of ``copies`` counts as often."""
+    order = np.argsort(keys)
+    begin, end = runs(keys[order])
+    kind = np.arange(len(begin))
+    if len(begin):
+        kind[np.add.reduceat(copies[order], begin) < 2] = -1
+    out = np.empty(len(keys), int)
+    out[order] = np.repeat(kind, end - begin)
+    return out
+
+
 def shard_spans(shard: pa.Table, window: int, phrase: int) -> pa.RecordBatch | None:
     """The stretches of a shard that recurring windows cover.
 
-    Rows with a ``hash`` are recurring windows, the others stretches. The phrases that anchor recurring windows
-    make the automaton, and all stretches are streamed through it. Where it reports a phrase, the windows
-    around that place are looked up among the recurring windows of this very phrase, and one that is found
-    is compared word for word with the first of its kind.
+    Rows with a ``hash`` are recurring windows, the others stretches. Without the former, the windows found twice in
+    these stretches recur. The phrases that anchor recurring windows
+    make the automaton, and all stretches are streamed through it. Where it reports the phrase that anchors a
+    stretch, the windows around that place are looked up among the recurring windows of this very phrase, and one that
+    is found is compared word for word with the first of its kind. Around other phrases there is nothing to look up, as
+    all windows of a stretch have one anchor.
     """
     known = shard.filter(shard["hash"].is_valid())
     stretches = shard.filter(shard["hash"].is_null()).combine_chunks()
-    if not known.num_rows or not stretches.num_rows:
+    if not stretches.num_rows:
         return None
-    known_anchor = known["anchor"].to_numpy()
-    both = np.unique(joined(known_anchor, known["hash"].to_numpy()))
+    anchor = stretches["anchor"].to_numpy()
     words, counts = split_joined(stretches["words"].combine_chunks())
     begins = np.cumsum(counts) - counts
     coded = words.dictionary_encode()
     number = coded.indices.to_numpy()
-
-    # phrases of recurring anchors, from a stretch that holds each
-    wanted, of = np.unique(stretches["anchor"].to_numpy(), return_index=True)
-    recurs = np.isin(wanted, known_anchor)
-    wanted, of = wanted[recurs], of[recurs]
-    if not len(wanted):
+    hashes, of, inside = window_hashes(coded, counts, window)
+    keys = joined(anchor[of], hashes)
+    if known.num_rows:
+        both = np.unique(joined(known["anchor"].to_numpy(), known["hash"].to_numpy()))
+        slot = np.minimum(np.searchsorted(both, keys), len(both) - 1)
+        kind = np.where(both[slot] == keys, slot, -1)
+    else:
+        kind = kinds(keys, stretches["copies"].to_numpy()[of])
+    recurs = np.flatnonzero(kind >= 0)
+    if not len(recurs):
         return None
-    places = begins[of] + stretches["phrase"].to_numpy()[of]
-    used = np.unique(number[places[:, None] + np.arange(phrase)])
-    at, stretch, which = located(as_characters(number, len(coded.dictionary), begins, used), places, begins, of, phrase)
+    first = np.zeros(kind.max() + 1, int)  # window of each kind
+    first[kind[recurs[::-1]]] = recurs[::-1]
+
+    # phrases of recurring windows, from a stretch that holds each
+    holds = np.unique(of[recurs])
+    wanted, at = np.unique(anchor[holds], return_index=True)
+    places = begins + stretches["phrase"].to_numpy()
+    origin = holds[at]
+    used = np.unique(number[places[origin, None] + np.arange(phrase)])
+    row = as_characters(number, len(coded.dictionary), begins, used)
+    at, stretch, which = located(row, places[origin], begins, origin, phrase)
+    own = np.flatnonzero((at == places[stretch]) & (wanted[which] == anchor[stretch]))
+    at, stretch = at[own], stretch[own]
 
-    hashes, _, inside = window_hashes(words, counts, window)
     number_of = np.zeros(len(words), np.int64)  # of the window that begins at a word
     number_of[inside] = np.arange(len(inside))
     # the windows of a stretch that hold the phrase found in it
@@ -255,13 +297,9 @@ def shard_spans(shard: pa.Table, window: int, phrase: int) -> pa.RecordBatch | N
     high = np.minimum(at, begins[stretch] + counts[stretch] - window)
     each = np.maximum(high - low + 1, 0)
     begin = number_of[np.repeat(low - (np.cumsum(each) - each), each) + np.arange(each.sum())]
-    anchor = np.repeat(wanted[which], each)
-    keys = joined(anchor, hashes[begin])
-    slot = np.minimum(np.searchsorted(both, keys), len(both) - 1)
-    found = np.flatnonzero(both[slot] == keys)
-    _, first, kind = np.unique(slot[found], return_index=True, return_inverse=True)
-    start = inside[begin[found]]
-    start = np.unique(start[same_words(number, start, start[first][kind], window)])
+    begin = begin[kind[begin] >= 0]
+    start = inside[begin]
+    start = start[same_words(number, start, inside[first[kind[begin]]], window)]
     if not len(start):
         return None
     of = np.searchsorted(begins, start, side="right") - 1
@@ -333,26 +371,47 @@ def _bucketed(df: DataFrame, buckets: int) -> tuple[DataFrame, str]:
     return df.sparkSession.table(name), name
 
 
+ROWS = ["shard", "part", "salt", "anchor", "hash", "key", "first", "phrase", "copies", "words"]
+
+
 def repeated_windows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     """``key``, ``from`` and ``to`` of stretches of words covered by recurring windows."""
-    spark = texts.sparkSession
-    with staged_tables(spark) as kept:
-        anchors = stage(
-            texts.mapInArrow(
-                _anchors(window, phrase), "anchor long, key binary, first int, last int, phrase int, copies long"
-            ),
-            "anchors",
-        )
-        twice = stage(anchors.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"), "twice")
-        found = anchors.drop("copies").join(twice, "anchor").groupBy("key").agg(
+    anchors = stage(
+        texts.mapInArrow(
+            _anchors(window, phrase), "anchor long, key binary, first int, last int, phrase int, copies long"
+        ),
+        "anchors",
+    )
+    counted = anchors.groupBy("anchor").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("stretches"))
+    crowded = (F.col("stretches") > SHARD_STRETCHES).alias("crowded")
+    twice = stage(counted.where("n > 1").select("anchor", "stretches", crowded), "twice")
+    total = {r["crowded"]: r["n"] for r in twice.groupBy("crowded").agg(F.sum("stretches").alias("n")).collect()}
+
+    def stretches(some: DataFrame) -> DataFrame:
+        found = anchors.drop("copies").join(some.select("anchor"), "anchor").groupBy("key").agg(
             F.collect_list(F.struct("anchor", "first", "last", "phrase")).alias("found")
         )
-        stretches = kept(
-            texts.join(found.hint("shuffle_hash"), "key").mapInArrow(
-                _stretches(window), "anchor long, key binary, first int, phrase int, copies long, words string"
-            ),
-            "stretches",
+        return texts.join(found.hint("shuffle_hash"), "key").mapInArrow(
+            _stretches(window), "anchor long, key binary, first int, phrase int, copies long, words string"
         )
+
+    shards = -(-2 * total.get(False, 0) // SHARD_STRETCHES) or 1  # half full, as anchors come in lumps
+    rows = stretches(twice.where("not crowded")).withColumns({
+        "shard": F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"), "part": F.lit(0), "salt": F.lit(0),
+        "hash": F.lit(None).cast("long"),
+    }).select(*ROWS)
+    if True in total:
+        few = stage(twice.where("crowded"), "crowded")  # small, so the anchors need no shuffle for them
+        rows = rows.unionByName(crowded_rows(stretches(few), shards, window))
+    place = ["shard", "part", "salt"]
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(
+        _locate(window, phrase), "key binary, from int, to int"
+    )
+
+
+def crowded_rows(stretches: DataFrame, others: int, window: int) -> DataFrame:
+    """Recurring windows and stretches of anchors too frequent for one shard, spread over shards that follow the ``others``."""
+    stretches = stage(stretches, "stretches")
     windows = stretches.select("anchor", "words", "copies").mapInArrow(
         _windows(window), "anchor long, hash long, copies long"
     )
@@ -361,7 +420,7 @@ def repeated_windows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
         "recurring",
     )
     shards = -(-recurring.count() // SHARD_WINDOWS) or 1
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard")
+    shard = (F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int") + others).alias("shard")
     count = lambda df, name: df.groupBy(shard).agg(F.count(F.lit(1)).alias(name))
     sizes = stage(
         count(recurring, "windows").join(count(stretches, "stretches"), "shard").select(
@@ -375,17 +434,15 @@ def repeated_windows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     one_of = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
     none = lambda kind: F.lit(None).cast(kind)
     as_windows = recurring.select("*", shard).join(sizes, "shard").withColumns(
-        {"part": one_of("parts", "hash"), "key": none("binary"), "first": none("int"), "phrase": none("int"), "words": none("string")}
+        {
+            "part": one_of("parts", "hash"), "key": none("binary"), "first": none("int"), "phrase": none("int"),
+            "copies": none("long"), "words": none("string"),
+        }
     ).withColumn("salt", every("salts"))
     as_stretches = stretches.select("*", shard).join(sizes, "shard").withColumns(
         {"salt": one_of("salts", "key", "first"), "hash": none("long")}
     ).withColumn("part", every("parts"))
-    columns = ["shard", "part", "salt", "anchor", "hash", "key", "first", "phrase", "words"]
-    return (
-        as_windows.select(*columns).unionByName(as_stretches.select(*columns))
-        .repartition("shard", "part", "salt").sortWithinPartitions("shard", "part", "salt")
-        .mapInArrow(_locate(window, phrase), "key binary, from int, to int")
-    )
+    return as_windows.select(*ROWS).unionByName(as_stretches.select(*ROWS))
 
 
 def dedup_texts(docs: DataFrame, window: int, phrase: int, changed_only: bool) -> DataFrame:

@@ -128,6 +128,57 @@ def test_the_automaton_decides_what_goes(monkeypatch):
         assert (substrings.places_of_least(values, width) == view.argmin(axis=1) + np.arange(len(view))).all()
 
 
+def test_the_automaton_chooses_among_few_characters():
+    """However many words there are, few characters can follow one another, and phrases are found at whole words only."""
+    import numpy as np
+
+    phrases = 3
+    number = np.random.default_rng(3).permutation(np.arange(20_000) % 5_000)
+    begins, places, of = np.array([0, 9_000, 9_500]), np.array([17, 9_100, 19_990]), np.array([0, 1, 2])
+    row = substrings.as_characters(number, 5_000, begins, np.arange(4_000))
+    assert len(set(row)) < 100
+    view = np.lib.stride_tricks.sliding_window_view(number, phrases)
+    at, stretch, which = substrings.located(row, places, begins, of, phrases)
+    places_of = [set(np.flatnonzero((view == view[p]).all(axis=1)).tolist()) for p in places]
+    assert {(a, w) for a, w in zip(at.tolist(), which.tolist())} == {(a, w) for w, some in enumerate(places_of) for a in some}
+    assert (stretch == np.searchsorted(begins, at, side="right") - 1).all()
+
+
+def test_windows_of_a_whole_shard_are_counted_in_it():
+    import numpy as np
+
+    pick = np.random.default_rng(4)
+    keys, copies = pick.integers(0, 300, 400).astype(np.uint64), pick.integers(1, 3, 400)
+    kind, total = substrings.kinds(keys, copies), Counter()
+    for k, n in zip(keys.tolist(), copies.tolist()):
+        total[k] += n
+    assert ((kind >= 0) == [total[k] > 1 for k in keys.tolist()]).all()
+    recurring = [(k, n) for k, n in zip(keys.tolist(), kind.tolist()) if n >= 0]
+    assert len({n for _, n in recurring}) == len({k for k, _ in recurring}) == len(set(recurring))
+    assert not len(substrings.kinds(keys[:0], copies[:0]))
+    # neighbours are compared together, each with its own result
+    number = pick.integers(0, 2, 500)
+    a, b = np.arange(400), np.concatenate([np.arange(50, 250), pick.integers(0, 490, 200)])
+    want = [(number[x:x + 5] == number[y:y + 5]).all() for x, y in zip(a, b)]
+    assert substrings.same_words(number, a, b, 5).tolist() == want
+
+
+def test_crowded_anchors_are_split_beside_whole_shards(spark, monkeypatch):
+    """An anchor of more stretches than a shard should hold is counted by Spark, all others in their shards."""
+    monkeypatch.setattr(substrings, "SHARD_WINDOWS", 7)
+    monkeypatch.setattr(substrings, "SHARD_STRETCHES", 12)
+    crowded, many, few = [], phrase(1, 40), phrase(2, 40)
+    real = substrings.crowded_rows
+    monkeypatch.setattr(
+        substrings, "crowded_rows", lambda stretches, *args: crowded.append(stretches.count()) or real(stretches, *args)
+    )
+    texts = [f"{phrase(100 + k, 9)} {many if k % 5 else few} {phrase(200 + k, 9)}" for k in range(25)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted((k, n, gone) for k, (n, gone, _) in enumerate(plain_dedup(texts, 12)))
+    got = substrings.dedup(docs, 12, 3).select("doc_id", "n_words", "n_removed").collect()
+    assert sorted(map(tuple, got)) == want and crowded and 0 < crowded[0]
+
+
 def test_dedup_of_nothing(spark):
     assert substrings.dedup(no_docs(spark)).count() == 0
     assert substrings.without_repeats(no_docs(spark)).count() == 0
